@@ -5,13 +5,30 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import bpe, mixture, ranking, sampling
+from . import abuse, bpe, mixture, ranking, sampling
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _scores(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return abuse.score_documents(docs, abuse.model(docs, table(spark, d, "labels")), keep=("source",))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return _scores(spark, d).where(F.col("score") > abuse.THRESHOLD).select("doc_id")
+
+
+def p9_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Per source (without case and outer blanks; null and blank as one): documents, flagged ones, their rate, mean score."""
+    source = F.coalesce(F.nullif(F.lower(F.trim("source")), F.lit("")), F.lit("(none)")).alias("source")
+    bad = F.count_if(F.col("score") > abuse.THRESHOLD)
+    return _scores(spark, d).groupBy(source).agg(F.count("*").alias("n"), bad.alias("n_flagged"), F.round(bad / F.count("*"), 6).alias("rate"), F.round(F.avg("score"), 6).alias("mean_score"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "p2_ranking": lambda s, d: ranking.rank_models(table(s, d, "anchor")),
@@ -21,6 +38,9 @@ def queries() -> dict[str, Query]:
         "p7_ids": lambda s, d: bpe.encode_corpus(table(s, d, "documents")),
         "p8_mixture": lambda s, d: mixture.mix(table(s, d, "documents"), table(s, d, "mix_targets")),
         "p8_shares": lambda s, d: mixture.shares(table(s, d, "documents"), table(s, d, "mix_targets")),
+        "p9_found": p9_found,
+        "p9_scores": lambda s, d: _scores(s, d).select("doc_id", "score"),
+        "p9_rates": p9_rates,
     }
 
 
