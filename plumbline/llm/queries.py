@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import abuse, bpe, mixture, ranking, sampling
+from . import abuse, bpe, leakage, mixture, ranking, sampling
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,10 +29,19 @@ def p9_rates(spark: SparkSession, d: str) -> DataFrame:
     return _scores(spark, d).groupBy(source).agg(F.count("*").alias("n"), bad.alias("n_flagged"), F.round(bad / F.count("*"), 6).alias("rate"), F.round(F.avg("score"), 6).alias("mean_score"))
 
 
+def p4_items(spark: SparkSession, d: str) -> DataFrame:
+    """Each evaluation item with the number of documents that leak it (0 for clean ones)."""
+    items = table(spark, d, "eval_items")
+    hits = leakage.leaks(table(spark, d, "documents"), items).groupBy("item_id").agg(F.count("*").alias("n"))
+    return items.select(F.col("id").alias("item_id")).distinct().join(hits, "item_id", "left").select("item_id", F.coalesce("n", F.lit(0)).alias("n_documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "p2_ranking": lambda s, d: ranking.rank_models(table(s, d, "anchor")),
         "p2_counts": lambda s, d: ranking.comparison_counts(table(s, d, "anchor")),
+        "p4_found": lambda s, d: leakage.leaks(table(s, d, "documents"), table(s, d, "eval_items")),
+        "p4_items": p4_items,
         "p5_sample": lambda s, d: sampling.stable_sample(table(s, d, "real_requests"))[0],
         "p5_growth": lambda s, d: sampling.growth_report(table(s, d, "real_requests")),
         "p7_ids": lambda s, d: bpe.encode_corpus(table(s, d, "documents")),
