@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import abuse, bpe, leakage, mixture, ranking, sampling
+from . import abuse, bpe, defects, leakage, mixture, ranking, sampling
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,6 +29,10 @@ def p9_rates(spark: SparkSession, d: str) -> DataFrame:
     return _scores(spark, d).groupBy(source).agg(F.count("*").alias("n"), bad.alias("n_flagged"), F.round(bad / F.count("*"), 6).alias("rate"), F.round(F.avg("score"), 6).alias("mean_score"))
 
 
+def _defects(spark: SparkSession, d: str) -> DataFrame:
+    return defects.find_defects(defects.answers_of(table(spark, d, "pairs"), table(spark, d, "feedback_day1")))
+
+
 def p4_items(spark: SparkSession, d: str) -> DataFrame:
     """Each evaluation item with the number of documents that leak it (0 for clean ones)."""
     items = table(spark, d, "eval_items")
@@ -44,6 +48,8 @@ def queries() -> dict[str, Query]:
         "p4_items": p4_items,
         "p5_sample": lambda s, d: sampling.stable_sample(table(s, d, "real_requests"))[0],
         "p5_growth": lambda s, d: sampling.growth_report(table(s, d, "real_requests")),
+        "p6_found": _defects,
+        "p6_rates": lambda s, d: _defects(s, d).groupBy("table_name", "field", "defect").agg(F.count("*").alias("n")),
         "p7_ids": lambda s, d: bpe.encode_corpus(table(s, d, "documents")),
         "p8_mixture": lambda s, d: mixture.mix(table(s, d, "documents"), table(s, d, "mix_targets")),
         "p8_shares": lambda s, d: mixture.shares(table(s, d, "documents"), table(s, d, "mix_targets")),
