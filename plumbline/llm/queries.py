@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import abuse, bpe, defects, leakage, mixture, ranking, sampling
+from . import abuse, bpe, defects, leakage, mixture, pii, ranking, sampling
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -42,6 +42,9 @@ def p4_items(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "p1_found": lambda s, d: pii.found(table(s, d, "feedback_day1")),
+        "p1_redacted": lambda s, d: pii.tagged(table(s, d, "feedback_day1")).select("event_id", "field", "pos", "redacted").distinct(),
+        "p1_kinds": lambda s, d: pii.found(table(s, d, "feedback_day1")).groupBy("field", "kind").agg(F.count("*").alias("n")),
         "p2_ranking": lambda s, d: ranking.rank_models(table(s, d, "anchor")),
         "p2_counts": lambda s, d: ranking.comparison_counts(table(s, d, "anchor")),
         "p4_found": lambda s, d: leakage.leaks(table(s, d, "documents"), table(s, d, "eval_items")),
