@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("measurements",)
+MODULES = ("measurements", "contamination")
 
 
 def core_queries() -> dict:
