@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("measurements", "contamination")
+MODULES = ("measurements", "contamination", "traffic")
 
 
 def core_queries() -> dict:
