@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("measurements", "contamination", "traffic")
+MODULES = ("measurements", "contamination", "traffic", "evaluations")
 
 
 def core_queries() -> dict:
