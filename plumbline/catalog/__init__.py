@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("measurements", "contamination", "traffic", "evaluations", "preference")
+MODULES = ("measurements", "contamination", "traffic", "evaluations", "preference", "judges")
 
 
 def core_queries() -> dict:
