@@ -56,26 +56,39 @@ def contains_phrase(text: Column, phrase: Column) -> Column:
     return (phrase != "") & (F.instr(F.concat(F.lit(" "), text, F.lit(" ")), F.concat(F.lit(" "), phrase, F.lit(" "))) > 0)
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value worked out once: what a lambda refers to is otherwise evaluated for every element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _ngrams(w: Column, n: int) -> Column:
+    return F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " "))).otherwise(F.array().cast("array<string>"))
+
+
 def ngrams(words: Column, n: int) -> Column:
     """Word n-grams in order, with repeats; [] for shorter lists."""
-    return F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(F.array().cast("array<string>"))
+    return let(words, lambda w: _ngrams(w, n))
 
 
 def shingles(words: Column, k: int) -> Column:
     """Distinct word k-shingles; of shorter lists the distinct words."""
-    return F.when(F.size(words) >= k, F.array_distinct(ngrams(words, k))).otherwise(F.array_distinct(words))
+    return let(words, lambda w: F.when(F.size(w) >= k, F.array_distinct(_ngrams(w, k))).otherwise(F.array_distinct(w)))
 
 
 def char_shingles(text: Column, k: int = 4) -> Column:
     """Distinct character k-shingles; a shorter text is its own shingle."""
-    return F.when(F.length(text) >= k, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - k + 1), lambda i: F.substring(text, i, F.lit(k))))).otherwise(F.array(text))
+    return let(text, lambda t: F.when(F.length(t) >= k, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(t) - k + 1), lambda i: F.substring(t, i, F.lit(k))))).otherwise(F.array(t)))
 
 
 def windows(words: Column, size: int, stride: int) -> Column:
     """Windows of ``size`` words every ``stride`` words and one at the end; a list of at most ``size`` words is one window."""
-    n = F.size(words)
-    starts = F.array_distinct(F.concat(F.sequence(F.lit(1), n - size + 1, F.lit(stride)), F.array(n - size + 1)))
-    return F.when(n <= size, F.array(words)).otherwise(F.transform(starts, lambda s: F.slice(words, s, size)))
+
+    def cut(w: Column) -> Column:
+        last = F.size(w) - size + 1
+        starts = F.array_distinct(F.concat(F.sequence(F.lit(1), last, F.lit(stride)), F.array(last)))
+        return F.when(F.size(w) <= size, F.array(w)).otherwise(F.transform(starts, lambda k: F.slice(w, k, size)))
+
+    return let(words, cut)
 
 
 def jaccard(a: Column, b: Column) -> Column:
