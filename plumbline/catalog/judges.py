@@ -81,7 +81,7 @@ def calibrated(spark, d):
 
 def shadow_pairs(spark, d):
     """Anchor answers as mirrored calls with made-up costs and errors by hash."""
-    a = table(spark, d, "anchor").dropDuplicates(["id"])
+    a = table(spark, d, "anchor").groupBy("id").agg(F.max_by(F.struct("response_a", "response_b", "model_a", "model_b", "human_pref"), F.struct("voted_at", F.coalesce("human_pref", F.lit("")))).alias("r")).select("id", "r.*")
     side = lambda x: F.struct(F.col(f"model_{x}").alias("model"), F.col(f"response_{x}").alias("text"), J.whitespace_count(F.col(f"response_{x}")).alias("tokens_out"), (J.whitespace_count(F.col(f"response_{x}")) / 10).alias("latency"), (J.whitespace_count(F.col(f"response_{x}")) / (1000 if x == "a" else 4000)).alias("cost"), F.when(unit(F.lit("err" + x), F.col("id")) < 0.03, "timeout").alias("error"), F.when(J.whitespace_count(F.col(f"response_{x}")) > 40, "length").otherwise("stop").alias("finish_reason"))
     return a.select("id", side("a").alias("primary"), side("b").alias("shadow"), "human_pref")
 
@@ -133,7 +133,7 @@ _A = f"""with l as (select *, row_number() over (partition by id order by voted_
      ln(greatest({_WC('response_a')}, 1)::double / greatest({_WC('response_b')}, 1)) llr, (split_part(lower(trim(model_a)), '-', 1) = 'isle')::int - (split_part(lower(trim(model_b)), '-', 1) = 'isle')::int sd from h),
   a as (select *, {_LAB('ab_p')} abw, {_LAB('ba_p')} baw from p)"""
 _WV = lambda c: f"case {c} when 'a' then 1.0::double when 'b' then 0.0 else 0.5 end"
-_SP = f"""with s as (select distinct on (id) *, {_WC('response_a')} wa, {_WC('response_b')} wb, {_U('erra', 'id')} < 0.03 ea, {_U('errb', 'id')} < 0.03 eb, regexp_extract_all(lower(coalesce(response_a, '')), '[a-z0-9]+') ta, regexp_extract_all(lower(coalesce(response_b, '')), '[a-z0-9]+') tb from anchor order by id),
+_SP = f"""with s as (select *, {_WC('response_a')} wa, {_WC('response_b')} wb, {_U('erra', 'id')} < 0.03 ea, {_U('errb', 'id')} < 0.03 eb, regexp_extract_all(lower(coalesce(response_a, '')), '[a-z0-9]+') ta, regexp_extract_all(lower(coalesce(response_b, '')), '[a-z0-9]+') tb from (select *, row_number() over (partition by id order by voted_at desc, coalesce(human_pref, '') desc) i from anchor) where i = 1),
   g as (select *, array_to_string(ta, ' ') = array_to_string(tb, ' ') same, case when len(list_distinct(ta || tb)) = 0 then 1.0::double else len(list_intersect(list_distinct(ta), list_distinct(tb)))::double / len(list_distinct(ta || tb)) end jac from s where not ea and not eb),
   o as (select *, case when same then 'tie' when v is null then 'error' when {_U('flip', 'id')} < 0.1 and v <> 'tie' then 'tie' when v = 'b' then 'win' when v = 'a' then 'loss' else 'tie' end outcome from (select *, case when lower(trim(human_pref)) in ('a', 'b', 'tie') then lower(trim(human_pref)) end v from g))"""
 SQL = {

@@ -150,31 +150,6 @@ DIMENSIONS = 4096
 STOP = "a an and are as at be by for from how in is it of on or that the to was what which who with".split()
 
 
-def _features(words):
-    """w:word of words that are not stop words, and character 4-grams of padded words longer than two letters."""
-    kept = F.filter(words, lambda w: ~w.isin(*STOP))
-    grams = F.flatten(F.transform(F.filter(kept, lambda w: F.length(w) > 2), lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - 1), lambda i: F.substring(F.concat(F.lit("<"), w, F.lit(">")), i, F.lit(4)))))
-    return F.concat(F.transform(kept, lambda w: F.concat(F.lit("w:"), w)), grams)
-
-
-def sparse_vectors(df: DataFrame, keys: list[str], idf: DataFrame, n_docs: int) -> DataFrame:
-    """(keys, bucket, value): signed counts, (1 + ln c) * idf, unit length. Unseen buckets weigh ln(1 + n) + 1."""
-    f = df.select(*keys, F.explode(_features(F.col("words"))).alias("f"))
-    h = portable31(F.col("f"))
-    b = f.select(*keys, (h % DIMENSIONS).cast("int").alias("bucket"), F.when((h / DIMENSIONS).cast("long") % 2 == 0, 1).otherwise(-1).alias("sign"))
-    c = b.groupBy(*keys, "bucket").agg(F.sum("sign").alias("c")).where("c <> 0")
-    v = c.join(F.broadcast(idf), "bucket", "left").withColumn("value", F.signum("c") * (1 + F.log(F.abs("c"))) * F.coalesce("idf", F.lit(math.log(1 + n_docs) + 1)))
-    return v.withColumn("norm", F.sqrt(F.sum(F.col("value") * F.col("value")).over(Window.partitionBy(*keys)))).select(*keys, "bucket", (F.col("value") / F.col("norm")).alias("value"))
-
-
-def fit_idf(words: DataFrame) -> tuple[DataFrame, int]:
-    """Document frequencies of buckets: at most DIMENSIONS rows."""
-    n = words.count()
-    h = portable31(F.explode(_features(F.col("words"))))
-    b = words.select("item_id", (h % DIMENSIONS).cast("int").alias("bucket")).distinct()
-    return b.groupBy("bucket").agg((F.log((1.0 + n) / (1.0 + F.count("*"))) + 1).alias("idf")), n
-
-
 def cosine_evidence(docs: DataFrame, items: DataFrame, cfg: ScanConfig = ScanConfig()) -> DataFrame:
     """(doc_id, item_id, cosine): best cosine of a window and an item from 0.75 times the suspicious level on.
 
@@ -195,12 +170,18 @@ def cosine_evidence(docs: DataFrame, items: DataFrame, cfg: ScanConfig = ScanCon
         memo: dict[str, tuple[np.ndarray, np.ndarray]] = {}
         for pdf in batches:
             out: list[tuple] = []
-            for doc, text_words in zip(pdf["doc_id"], pdf["words"]):
-                ws = list(text_words)
-                starts = [0] if len(ws) <= size else list(dict.fromkeys([*range(0, len(ws) - size + 1, stride), len(ws) - size]))
-                vecs = np.stack([_embed(ws[s : s + size], idf, memo) for s in starts]) if ws else np.zeros((0, DIMENSIONS), np.float32)
-                best = (vecs @ matrix.T).max(0) if len(vecs) and len(matrix) else np.zeros(0)
-                out += [(doc, ids[k], float(best[k])) for k in np.flatnonzero(best >= floor)]
+            keys, lists = pdf["doc_id"].tolist(), [list(w) for w in pdf["words"]]
+            for k in range(0, len(keys), 64):
+                owner, spans = [], []
+                for z in range(k, min(k + 64, len(keys))):
+                    n = len(lists[z])
+                    starts = ([0] if n <= size else list(dict.fromkeys([*range(0, n - size + 1, stride), n - size]))) if n else []
+                    spans += [lists[z][s : s + size] for s in starts]
+                    owner += [z] * len(starts)
+                for c in range(0, len(spans), 1000):  # at most 16 MB of windows at a time
+                    cos = _embed(spans[c : c + 1000], idf, memo) @ matrix.T
+                    w, i = np.nonzero(cos >= floor)
+                    out += [(keys[owner[c + x]], ids[y], float(cos[x, y])) for x, y in zip(w.tolist(), i.tolist())]
             yield pd.DataFrame(out, columns=["doc_id", "item_id", "cosine"])
 
     got = docs.select("doc_id", tokens(F.col("text")).alias("words")).mapInPandas(scan, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id string, cosine double")
@@ -218,19 +199,30 @@ def _word_buckets(w: str) -> tuple[np.ndarray, np.ndarray]:
     return h % DIMENSIONS, np.where((h // DIMENSIONS) % 2 == 0, 1.0, -1.0).astype(np.float32)
 
 
-def _embed(ws: list[str], idf: np.ndarray, memo: dict) -> np.ndarray:
-    v = np.zeros(DIMENSIONS, np.float32)
-    for w in ws:
-        got = memo.get(w)
-        if got is None:
-            if len(memo) > 200_000:
-                memo.clear()
-            got = memo[w] = _word_buckets(w)
-        np.add.at(v, got[0], got[1])
-    a = np.abs(v)
-    v = np.where(a > 0, np.sign(v) * (1 + np.log(np.maximum(a, 1))), 0) * idf
-    n = np.linalg.norm(v)
-    return (v / n if n else v).astype(np.float32)
+def _embed(lists: list[list[str]], idf: np.ndarray, memo: dict) -> np.ndarray:
+    """Unit rows of all word lists at once: one count over (list, bucket), then only the occupied cells are weighted."""
+    at, sign, sizes = [], [], []
+    for ws in lists:
+        n = 0
+        for w in ws:
+            got = memo.get(w)
+            if got is None:
+                if len(memo) > 200_000:
+                    memo.clear()
+                got = memo[w] = _word_buckets(w)
+            at.append(got[0])
+            sign.append(got[1])
+            n += len(got[0])
+        sizes.append(n)
+    if not sum(sizes):
+        return np.zeros((len(lists), DIMENSIONS), np.float32)
+    cell = np.repeat(np.arange(len(lists)), sizes) * DIMENSIONS + np.concatenate(at)
+    flat = np.bincount(cell, np.concatenate(sign), len(lists) * DIMENSIONS)
+    used = np.flatnonzero(flat)
+    v = flat[used]
+    flat[used] = np.sign(v) * (1 + np.log(np.abs(v))) * idf[used % DIMENSIONS]
+    rows = flat.reshape(len(lists), DIMENSIONS).astype(np.float32)
+    return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-12)
 
 
 def _item_matrix(lists: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
@@ -240,8 +232,7 @@ def _item_matrix(lists: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         df[b] += 1
     n = len(lists)
     idf = np.where(df > 0, np.log((1 + n) / (1 + df)) + 1, math.log(1 + n) + 1).astype(np.float32)
-    memo: dict = {}
-    return idf, np.stack([_embed(ws, idf, memo) for ws in lists]) if lists else np.zeros((0, DIMENSIONS), np.float32)
+    return idf, _embed(lists, idf, {})
 
 
 # ---- grading -------------------------------------------------------------------------------------------------------
