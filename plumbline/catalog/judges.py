@@ -42,7 +42,7 @@ def _reliability(spark, d):
 
 
 def reliability(spark, d):
-    return _reliability(spark, d).select("bin", "n", R("confidence"), R("accuracy"))
+    return _reliability(spark, d).select("bin", "n", R("confidence", 9), R("accuracy", 9))
 
 
 def ece(spark, d):
@@ -142,7 +142,7 @@ SQL = {
         select n, round(po, 6) agreement, round(dc, 6) agreement_decisive, round(case when pe < 1 then (po - pe) / (1 - pe) else 1 end, 6) cohen_kappa, round(tr, 6) tie_rate from q""",
     "judge_position": _A + """ select round(avg((abw = baw)::int), 6) consistency, round(avg(case when abw <> 'tie' and baw <> 'tie' then (abw <> baw)::int end), 6) flip_rate,
         round((count(*) filter (abw = 'a') + count(*) filter (baw = 'b'))::double / (count(*) filter (abw <> 'tie') + count(*) filter (baw <> 'tie')), 6) first_slot_win_rate, round((count(*) filter (abw = 'a') + count(*) filter (baw = 'b'))::double / (count(*) filter (abw <> 'tie') + count(*) filter (baw <> 'tie')) - 0.5, 6) position_bias from a""",
-    "judge_reliability": _A + """ select least(greatest(floor((greatest(ab_p, 1 - ab_p) - 0.5) * 20 + 1e-9), 0), 9)::int bin, count(*) n, round(avg(greatest(ab_p, 1 - ab_p)), 6) confidence, round(avg((abw = human)::int), 6) accuracy from a where abw <> 'tie' and human <> 'tie' group by all""",
+    "judge_reliability": _A + """ select least(greatest(floor((greatest(ab_p, 1 - ab_p) - 0.5) * 20 + 1e-9), 0), 9)::int bin, count(*) n, round(avg(greatest(ab_p, 1 - ab_p)), 9) confidence, round(avg((abw = human)::int), 9) accuracy from a where abw <> 'tie' and human <> 'tie' group by all""",
     "judge_ece": _A + """, b as (select least(greatest(floor((greatest(ab_p, 1 - ab_p) - 0.5) * 20 + 1e-9), 0), 9)::int bin, count(*) n, avg(greatest(ab_p, 1 - ab_p)) c, avg((abw = human)::int) k from a where abw <> 'tie' and human <> 'tie' group by all) select sum(n)::bigint n, round(sum(n * abs(c - k)) / sum(n), 6) ece from b""",
     "judge_verbosity": _A + """ select (abs(llr) >= 0.1)::int + (abs(llr) >= 0.3)::int + (abs(llr) >= 0.7)::int bucket, count(*) n, round(avg(((abw = 'a') = (llr > 0))::int), 6) judge_longer, round(avg(((human = 'a') = (llr > 0))::int), 6) human_longer from a where abw <> 'tie' and human <> 'tie' and abs(llr) > 1e-9 group by all""",
     "judge_self_preference": _A + f""", q as (select case when sd > 0 then {_WV('abw')} else 1 - {_WV('abw')} end j, case when sd > 0 then {_WV('human')} else 1 - {_WV('human')} end h from a where sd <> 0) select count(*) n, round(avg(j), 6) judge_own, round(avg(h), 6) human_own, round(avg(j) - avg(h), 6) gap from q""",

@@ -112,8 +112,10 @@ def compare(scores: DataFrame, a: str, b: str, boots: int = 2000, confidence: fl
         s, n = _numbers(cluster_sums(pairs))
     finally:
         pairs.unpersist()
+    d, sd = round(r.d, 12), round(r.sd or 0.0, 12)  # sums of floats differ in the last digits with the partitioning
+    s = np.round(s, 12)
     values = replicates(spark, "bootstrap", s, n, boots, seed)
-    low, high = bca(values, r.d, s, n, confidence)
+    low, high = bca(values, d, s, n, confidence)
     if r.binary and r.single:
         p, test = mcnemar(r.up, r.down), "mcnemar"
     else:
@@ -121,8 +123,8 @@ def compare(scores: DataFrame, a: str, b: str, boots: int = 2000, confidence: fl
         seen = abs(s.sum())
         p = 1.0 if seen == 0 else float(((np.abs(replicates(spark, "signs", s, n, boots, seed + 1)) >= seen - 1e-12).sum() + 1) / (boots + 1))
     se = values.std(ddof=1)
-    deff = se * math.sqrt(r.n) / r.sd if r.sd else 1.0
-    return Comparison(a, b, r.n, len(s), r.d, low, high, p, test, float(detectable(r.n, r.sd or 0.0, deff, alpha)), bool(p < alpha and (low > 0 or high < 0)))
+    deff = float(se * math.sqrt(r.n) / sd) if sd else 1.0
+    return Comparison(a, b, r.n, len(s), d, low, high, p, test, float(detectable(r.n, sd, deff, alpha)), bool(p < alpha and (low > 0 or high < 0)))
 
 
 def _unpaired(scores: DataFrame, a: str, b: str, confidence: float) -> Comparison:
