@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import html
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
-from .textnorm import fold
+from .textnorm import fold, visible
 
 K, WINDOW = 3, 2
 SHARE, OWN_SHARE = 0.5, 0.4
@@ -48,6 +49,16 @@ def words(text: str) -> list[str]:
     return _WORD.findall(fold(text))
 
 
+def named(text: str, folded: list[str]) -> list[bool]:
+    """Which words look like names or numbers: a capital that does not begin the text, or a digit."""
+    if "&" in text:
+        text = html.unescape(text)
+    raw = _WORD.findall(unicodedata.normalize("NFKC", visible(_TAG.sub(" ", text))))
+    if len(raw) != len(folded):
+        return [any(c.isdigit() for c in w) for w in folded]
+    return [any(c.isdigit() for c in w) or (k > 0 and w[0].isupper() and not w.isupper()) for k, w in enumerate(raw)]
+
+
 @lru_cache(400_000)
 def _code(word: str) -> int:
     return int.from_bytes(blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big")
@@ -126,18 +137,27 @@ class Index:
     def __init__(self, rows: list[tuple[str, str | None, str | None]]) -> None:
         self.ids: list[str] = []
         self.passages: list[list[str]] = []
+        self.named: list[list[bool]] = []
         spread: Counter[str] = Counter()
         for key, question, answer in rows:
             q, a = words(question or ""), words(answer or "")
             spread.update({*q, *a})
-            for p in ([q] if q else []) + ([a] if len(a) >= ANSWER_WORDS else []):
+            for p, text in ([(q, question)] if q else []) + ([(a, answer)] if len(a) >= ANSWER_WORDS else []):
                 self.ids.append(key)
                 self.passages.append(p)
-        self.own = [[spread[w] <= OWN_ITEMS for w in p] for p in self.passages]
+                self.named.append(named(text, p))
+        self.set_own({w for w, n in spread.items() if n <= OWN_ITEMS})
         owner, at, code = fingerprints(self.passages)
         order = np.argsort(code, kind="stable")
         self.code, self.owner, self.at = code[order], owner[order], at[order]
 
+    def set_own(self, rare: set[str]) -> None:
+        """A passage's own words: the rare ones that look like names or numbers; where these are fewer than two, all rare ones."""
+        self.own = []
+        for p, n in zip(self.passages, self.named):
+            own = [w in rare and x for w, x in zip(p, n)]
+            self.own.append(own if sum(own) >= 2 else [w in rare for w in p])
+
     def leaked(self, lists: list[list[str]]) -> list[tuple[int, str]]:
         """(list, item id) of the leaks in these word lists."""
         if not len(self.code):
@@ -233,8 +253,7 @@ def _leaks_joined(docs: DataFrame, items: DataFrame, schema: str) -> DataFrame:
             out = []
             for d, t, i, q, a, mine in zip(pdf["doc_id"], pdf["text"], pdf["item_id"], pdf["q"], pdf["a"], pdf["own"]):
                 one = Index([(i, q, a)])
-                known = set(mine) if mine is not None else set()
-                one.own = [[w in known for w in p] for p in one.passages]
+                one.set_own(set(mine) if mine is not None else set())
                 if one.leaked([words(t)]):
                     out.append((d, i))
             yield pd.DataFrame(out, columns=["doc_id", "item_id"])
