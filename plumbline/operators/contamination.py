@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import portable31
 from ..functions.text import ngrams, tokens, windows
-from ..plans.sizes import small
+from ..plans.sizes import small, spread
 from ..session import cut_lineage
 
 
@@ -59,7 +59,7 @@ def gram_matches(docs: DataFrame, items: DataFrame, cfg: ScanConfig = ScanConfig
     """(doc_id, item_id, doc_pos, pos, n, n_pos): every shared gram. One gram size per distinct n of the items."""
     grams = cut_lineage(item_grams(items, cfg))
     sizes = [r.n for r in grams.select("n").distinct().limit(cfg.n + 1).collect()]  # at most ``n`` values
-    words = docs.select("doc_id", tokens(F.col("text")).alias("words"))
+    words = spread(docs.select("doc_id", "text")).select("doc_id", tokens(F.col("text")).alias("words"))
     parts = [words.select("doc_id", F.lit(n).alias("n"), F.posexplode(ngrams(F.col("words"), n)).alias("doc_pos", "gram")) for n in sorted(sizes)]
     if not parts:
         parts = [words.select("doc_id", F.lit(0).alias("n"), F.lit(0).alias("doc_pos"), F.lit("").alias("gram")).limit(0)]
@@ -134,7 +134,7 @@ def minhash_evidence(docs: DataFrame, items: DataFrame, cfg: ScanConfig = ScanCo
 
     it = with_signatures(item_words(items).select("item_id", shingles(F.col("words"), cfg.shingle).alias("shingles")).where(F.size("shingles") > 0), cfg)
     it = cut_lineage(it.select("item_id", F.size("shingles").alias("n_item"), F.col("sig").alias("sig_i")))
-    win = docs.select("doc_id", F.posexplode(windows(tokens(F.col("text")), size, stride)).alias("w", "words")).where(F.size("words") > 0)
+    win = spread(docs.select("doc_id", "text")).select("doc_id", F.posexplode(windows(tokens(F.col("text")), size, stride)).alias("w", "words")).where(F.size("words") > 0)
     win = win.select("doc_id", "w", shingles(F.col("words"), cfg.shingle).alias("shingles"))
     win = with_signatures(win, cfg).select("doc_id", "w", F.size("shingles").alias("n_win"), "sig")
     keys_i = it.select("item_id", "n_item", "sig_i", F.explode(_bands(F.col("sig_i"), cfg)).alias("key"))
@@ -184,7 +184,7 @@ def cosine_evidence(docs: DataFrame, items: DataFrame, cfg: ScanConfig = ScanCon
                     out += [(keys[owner[c + x]], ids[y], float(cos[x, y])) for x, y in zip(w.tolist(), i.tolist())]
             yield pd.DataFrame(out, columns=["doc_id", "item_id", "cosine"])
 
-    got = docs.select("doc_id", tokens(F.col("text")).alias("words")).mapInPandas(scan, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id string, cosine double")
+    got = spread(docs.select("doc_id", "text")).select("doc_id", tokens(F.col("text")).alias("words")).mapInPandas(scan, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id string, cosine double")
     return got.groupBy("doc_id", "item_id").agg(F.round(F.max("cosine"), 5).alias("cosine"))
 
 

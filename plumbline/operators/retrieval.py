@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import stable_hex
 from ..functions.text import answer_normalize, ascii_words, contains_phrase
-from ..plans.sizes import small
+from ..plans.sizes import small, spread
 
 #: Markers of an answer (fixed values).
 ABSTAIN, CONFLICT = "INSUFFICIENT_EVIDENCE", "CONFLICTING_EVIDENCE"
@@ -26,7 +26,7 @@ def bm25_top(queries: DataFrame, docs: DataFrame, k: int = 5, k1: float = 1.5, b
     summed per (query, document), and the k best are kept by rank."""
     q = queries.select("query_id", F.explode(stems(F.col("text"))).alias("t")).groupBy("query_id", "t").agg(F.count("*").alias("qn"))
     terms = small(q.select("t").distinct())
-    words = docs.select("doc_id", stems(F.col("text")).alias("w")).withColumn("len", F.size("w"))
+    words = spread(docs.select("doc_id", "text")).select("doc_id", stems(F.col("text")).alias("w")).withColumn("len", F.size("w"))
     total = words.agg(F.count("*").alias("n"), F.avg("len").alias("avg")).first()
     n, avg = total.n, max(total["avg"] or 0.0, 1e-9)
     tf = words.select("doc_id", "len", F.explode("w").alias("t")).join(terms, "t", "left_semi").groupBy("doc_id", "t").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
