@@ -170,20 +170,25 @@ def train(examples: list[tuple[str, list[tuple[int, int, str]]]], epochs: int =
     w, trans = np.zeros((SIZE, TAGS), np.float32), np.zeros((TAGS + 1, TAGS), np.float32)
     gw, gt = np.full((SIZE, TAGS), 1e-6, np.float32), np.full((TAGS + 1, TAGS), 1e-6, np.float32)
     rng = np.random.default_rng(seed)
+    # batches of texts of like length are put together once, only their order changes; so each batch's distinct features are found once
+    order = rng.permutation(len(lists))
+    order = order[np.argsort(lengths[order] // 4, kind="stable")]
+    batches = []
+    for k in range(0, len(order), batch):
+        own = order[k : k + batch]
+        n, b = int(lengths[own].max()), len(own)
+        at = starts[own][:, None] + np.minimum(np.arange(n), lengths[own][:, None] - 1)
+        mask = np.arange(n) < lengths[own][:, None]
+        y = np.zeros((b, n), np.int64)
+        for r, z in enumerate(own):
+            y[r, : lengths[z]] = gold[z]
+        f = ids[at]  # texts x tokens x templates
+        used, back = np.unique(f[mask].ravel(), return_inverse=True)
+        batches.append((n, b, mask, y, f, used, back.ravel()))
     for _ in range(epochs):
-        order = rng.permutation(len(lists))
-        order = order[np.argsort(lengths[order] // 4, kind="stable")]
-        chunks = [order[k : k + batch] for k in range(0, len(order), batch)]
-        for c in rng.permutation(len(chunks)):
-            own = chunks[c]
-            n, b = int(lengths[own].max()), len(own)
-            at = starts[own][:, None] + np.minimum(np.arange(n), lengths[own][:, None] - 1)
-            mask = np.arange(n) < lengths[own][:, None]
-            f = ids[at]  # texts x tokens x templates
+        for c in rng.permutation(len(batches)):
+            n, b, mask, y, f, used, back = batches[c]
             emit = w[f].sum(2)
-            y = np.zeros((b, n), np.int64)
-            for r, k in enumerate(own):
-                y[r, : lengths[k]] = gold[k]
             move = trans + FORBID
             alpha, beta = np.zeros((b, n, TAGS)), np.zeros((b, n, TAGS))
             alpha[:, 0] = emit[:, 0] + move[TAGS]
@@ -209,12 +214,10 @@ def train(examples: list[tuple[str, list[tuple[int, int, str]]]], epochs: int =
                 live = mask[:, t]
                 g[:TAGS] += np.exp(x[live]).sum(0) / b
                 np.add.at(g, (y[live, t - 1], y[live, t]), -1.0 / b)
-            flat = f[mask].ravel()
-            used, back = np.unique(flat, return_inverse=True)
             grad = np.zeros((len(used), TAGS))
-            per = np.repeat(p[mask], f.shape[2], axis=0)
+            per = p[mask]
             for k in range(TAGS):
-                grad[:, k] = np.bincount(back.ravel(), per[:, k], len(used))
+                grad[:, k] = np.bincount(back, np.repeat(per[:, k], f.shape[2]), len(used))
             grad += l2 * w[used]
             gw[used] += grad**2
             w[used] -= rate * grad / np.sqrt(gw[used])
