@@ -95,7 +95,7 @@ def features(strings: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     idx = np.empty((len(_OFFSETS), n), np.int32)
     for k, (a, b, c) in enumerate(_OFFSETS):
         idx[k] = first + code[a : n + a] * SYMBOLS**2 + code[b : n + b] * SYMBOLS + code[c : n + c]
-    inside = (code[:n] > 0) | (code[1 : n + 1] > 0)  # not those that begin in the padding
+    inside = np.concatenate([np.arange(len(s) + SPAN) < len(s) for s in strings])[:n]  # not those that begin in the padding, which would reach into the next string
     return idx[:, inside], _WEIGHTS, owner[:n][inside]
 
 
