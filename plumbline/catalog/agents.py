@@ -126,7 +126,7 @@ def attack_resilience(spark, d):
 def text_claims(spark, d):
     """How many documents hold each claim."""
     c = table(spark, d, "documents").where("text is not null").select(F.explode(B.claims(F.col("text"))).alias("claim"))
-    return c.where(F.col("claim").isin("zero_width", "fullwidth", "delimiter_collision", "instruction_like", "nested_quoting")).groupBy("claim").agg(F.count("*").alias("n"))
+    return c.groupBy("claim").agg(F.count("*").alias("n"))
 
 
 def field_errors(spark, d):
@@ -147,7 +147,7 @@ def probe_rates(spark, d):
 
 
 def normalised(spark, d):
-    """The normalisers on every document's first figures and words."""
+    """The normalisers on every document."""
     t = table(spark, d, "documents").where("text is not null")
     return t.select("doc_id", F.sha2(X.ascii_normalize(F.col("text")), 256).alias("ascii_hash"), F.size(X.tokens(F.col("text"))).alias("n_tokens"), X.whitespace_count(F.regexp_replace("text", r"[^\x20-\x7e]", " ")).alias("n_words"), X.approx_tokens(F.col("text")).alias("approx"), F.size(X.shingles(X.ascii_words(F.col("text")), 3)).alias("n_shingles"), F.size(X.windows(X.ascii_words(F.col("text")), 36, 9)).alias("n_windows"))
 

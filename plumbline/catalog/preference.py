@@ -56,7 +56,7 @@ def near_links(spark, d):
 
 def decontaminated(spark, d):
     p = table(spark, d, "pairs").select(F.col("pair_id").alias("id"), F.col("prompt").alias("text")).where("text is not null").dropDuplicates(["id"])
-    g = table(spark, d, "anchor").where("voted_at < '2026-01-02'").select(F.col("id").alias("gid"), F.col("prompt").alias("text")).where("text is not null").dropDuplicates(["gid"])
+    g = table(spark, d, "anchor").select(F.col("id").alias("gid"), F.col("prompt").alias("text")).where("text is not null").dropDuplicates(["gid"])
     return B.golden_overlap(p, g).select(F.col("id").alias("pair_id"), R("overlap"))
 
 
@@ -109,7 +109,7 @@ SQL = {
     "pairs_drop_reason": _PR + " select pair_id, reason from r",
     "pairs_exact_dedupe": _PR + f", g as (select pair_id, {_NORM.format('prompt || chr(10) || chosen')} k from r where reason is null) select pair_id, count(*) over (partition by k) copies, pair_id = min(pair_id) over (partition by k) kept from g",
     "pairs_near_links": _PR + _SH + " select a, b, round(c::double / (na + nb - c), 6) similarity from c where c::double / (na + nb - c) >= 0.85",
-    "pairs_golden_overlap": f"""with p as (select distinct on (pair_id) pair_id id, {_WORDS.format('prompt')} w from pairs where prompt is not null), g as (select distinct on (id) id gid, {_WORDS.format('prompt')} w from anchor where prompt is not null and voted_at < timestamp '2026-01-02'),
+    "pairs_golden_overlap": f"""with p as (select distinct on (pair_id) pair_id id, {_WORDS.format('prompt')} w from pairs where prompt is not null), g as (select distinct on (id) id gid, {_WORDS.format('prompt')} w from anchor where prompt is not null),
         pg as (select *, case when len(w) >= 5 then list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) else [] end g from p), gg as (select *, case when len(w) >= 5 then list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) else [] end g from g),
         o as (select p.id, case when array_to_string(p.w, ' ') = array_to_string(g.w, ' ') then 1.0::double when len(g.g) = 0 and len(g.w) >= 2 and contains(' ' || array_to_string(p.w, ' ') || ' ', ' ' || array_to_string(g.w, ' ') || ' ') then 1.0::double
               when len(p.g) > 0 and len(g.g) > 0 then greatest(len(list_intersect(p.g, g.g))::double / len(p.g), len(list_intersect(p.g, g.g))::double / len(g.g)) else 0 end ov from pg p, gg g)

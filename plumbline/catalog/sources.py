@@ -19,7 +19,7 @@ def props(spark, d):
 
 
 def numbers(spark, d):
-    return table(spark, d, "documents").select("doc_id", P.first_number(F.substring("text", 1, 100000)).alias("number")).where("number is not null and abs(number) < 1e9")
+    return table(spark, d, "documents").select("doc_id", P.first_number(F.col("text")).alias("number")).where("number is not null")
 
 
 def verdicts(spark, d):
