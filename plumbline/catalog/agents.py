@@ -168,7 +168,36 @@ def nearest(spark, d):
     return c.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("cosine"), "vec_id"))).where("rank <= 5")
 
 
+def _cases(spark, d):
+    """Prompts of the anchors as generated cases, the questions of eval_items as seeds."""
+    a = table(spark, d, "anchor").where("id is not null").groupBy("id").agg(F.max("prompt").alias("text"))
+    return a, table(spark, d, "eval_items").select("id", F.col("question").alias("text"))
+
+
+def case_novelty(spark, d):
+    return B.novelty(*_cases(spark, d)).select("id", R("novelty"))
+
+
+def case_rejects(spark, d):
+    return B.reject_reason(*_cases(spark, d)).groupBy(F.coalesce("reason", F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"))
+
+
+def variants(spark, d):
+    v = table(spark, d, "eval_items").select("id", F.explode(B.format_variants(F.col("question"))).alias("variant", "text"))
+    return v.select("id", "variant", F.sha2("text", 256).alias("h"))
+
+
+def mutated(spark, d):
+    a = table(spark, d, "eval_items").select(F.col("id").alias("attack_id"), F.col("question").alias("text"), F.array().cast("array<string>").alias("lineage"))
+    return B.mutations(B.mutations(a), 2).select("attack_id", F.array_join("lineage", ">").alias("lineage"), F.length("text").alias("n"))
+
+
+def summaries(spark, d):
+    return M.summary(turns(spark, d).withColumn("line", F.concat("line", F.lit(" My plan is p"), F.col("pos").cast("string"), F.lit("."))))
+
+
 QUERIES = {
+    "edge_novelty": case_novelty, "edge_rejects": case_rejects, "edge_format_variants": variants, "attack_mutations": mutated, "memory_summary": summaries,
     "trajectory_calls": call_issues, "trajectory_runs": runs, "trajectory_summary": run_summary, "trajectory_issue_counts": lambda s, d: T.issue_counts(graded(s, d)), "rag_bm25": bm25, "rag_scored": rag_scored, "rag_metrics": lambda s, d: Q.metrics(Q.score(rag_cases(s, d))), "rag_unstable": lambda s, d: Q.unstable_rate(Q.score(rag_cases(s, d))),
     "memory_window": window_memory, "memory_fifo": fifo_memory, "memory_facts": facts, "memory_recall": probes, "memory_retrieval": retrieved, "replay_divergence": diverged, "replay_cache": served, "attack_findings": attack_findings, "attack_resilience": attack_resilience,
     "edge_text_claims": text_claims, "edge_schema_errors": field_errors, "edge_pair_coverage": coverage, "edge_probe_rates": probe_rates, "text_normalisers": normalised, "embedding_neighbours": nearest,
@@ -194,6 +223,9 @@ _AT = f"""with r as (select request_id, max(max_tokens) k, max(coalesce(temperat
   o as (select request_id run_id, level, k, t, unnest(list_filter([case when h < 0.1 or (h > 0.4 and h < 0.45) then 'canary_leaked' end, case when k = 1024 and h < 0.2 then 'forbidden_tool_invoked' end, case when h > 0.97 then 'unhandled_exception' end, case when h > 0.95 and not h > 0.97 then 'schema_violation' end, case when not h < 0.93 and not h > 0.97 then 'no_termination' end], lambda x: x is not null)) oracle from a where not (h > 0.5 and h < 0.52)),
   f as (select *, case oracle when 'canary_leaked' then 'critical' when 'forbidden_tool_invoked' then 'critical' when 'schema_violation' then 'medium' else 'high' end severity from o)"""
 SQL = {
+    "edge_novelty": """with c as (select id, max(prompt) t from anchor where id is not null group by id), f as (select id, case when length(t) >= 4 then list_distinct(list_transform(range(1, length(t) - 2), lambda i: substr(lower(t), i, 4))) else [lower(t)] end s from c),
+        e as (select case when length(question) >= 4 then list_distinct(list_transform(range(1, length(question) - 2), lambda i: substr(lower(question), i, 4))) else [lower(question)] end q from eval_items), x as (select id, len(s) n, unnest(s) g from f), y as (select row_number() over () k, q from e), z as (select k, len(q) n, unnest(q) g from y),
+        j as (select id, k, count(*) c, any_value(x.n) a, any_value(z.n) b from x join z using (g) group by id, k) select f.id, round(1 - coalesce(max(c::double / (a + b - c)), 0), 6) novelty from f left join j using (id) group by f.id""",
     "trajectory_calls": _TR + " select task_id, step, array_to_string(list_sort(hard), ',') hard, array_to_string(list_sort(soft), ',') soft from g",
     "trajectory_runs": _TR + " select task_id, n_calls, n_hard::bigint n_hard, n_soft::bigint n_soft, coalesce(first_failure, -1) first_failure, score, n_hard = 0 and score >= 0 passed from w",
     "trajectory_summary": _TR + " select count(*) n, round(avg((n_hard = 0)::int), 6) pass_rate, round(avg(score), 6) mean_score from w",

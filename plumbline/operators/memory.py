@@ -78,3 +78,11 @@ def retrieve(turns: DataFrame, queries: DataFrame, top_k: int = 6, budget: int =
     return turns.select(by, "pos", "line").groupBy(by).cogroup(queries.select(by, "query").groupBy(by)).applyInPandas(run, f"{by} string, query string, lines array<string>")
 
 
+
+
+def summary(turns: DataFrame, by: str = "conversation_id", pos: str = "pos", line: str = "line", budget: int = 400) -> DataFrame:
+    """(by, summary): facts with their latest values in order of last mention; the oldest leave first when it is too long."""
+    f = facts(turns, by, pos, line).select(by, "last_pos", F.concat(F.lit("the user's "), "attribute", F.lit(" is "), "value", F.lit(".")).alias("fact"))
+    w = Window.partitionBy(by).orderBy(F.desc("last_pos"), "fact").rowsBetween(Window.unboundedPreceding, 0)
+    kept = f.withColumn("used", F.sum(whitespace_count(F.col("fact"))).over(w)).where(F.col("used") <= budget)
+    return kept.groupBy(by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("last_pos", "fact"))), lambda x: x.fact), " ").alias("summary"))
