@@ -33,11 +33,12 @@ LEAST = 20
 #: Scores above it count as found.
 THRESHOLD = 0.1
 #: Strings shorter than this say too little to be scored.
-SHORTEST = 9
+SHORTEST = 11
 #: The labelled documents that lend harmless sentences, and sentences from each (bounds of the training sample).
 LABELLED_DOCS, SENTENCES_EACH = 600, 12
 
 _SPLIT = re.compile(r"\n+|(?<=[.!?…])[\"'»”)]*\s+")
+_ADDRESS = re.compile(r"\W*[^,:.!?]{2,20}[,:]\s+(?=\S)")
 _LEET = str.maketrans("013457@$", "oieastas")
 _APART = re.compile(r"(?<![^\W_])(?:[^\W\d_][ .\-_*·]{1,2}){2,}[^\W\d_](?![^\W_])")
 _LEETED = re.compile(r"\S*[a-z]\S*[0-9@$]\S*|\S*[0-9@$]\S*[a-z]\S*")
@@ -52,7 +53,7 @@ def canonical(passage: str) -> str:
     s = _LABEL.sub("", fold(passage))
     s = _APART.sub(lambda m: re.sub(r"[ .\-_*·]", "", m[0]), s)
     s = "".join(c for c in unicodedata.normalize("NFD", s) if not unicodedata.combining(c)).replace("ß", "ss")
-    s = _LEETED.sub(lambda m: m[0].translate(_LEET) if sum(c.isdigit() for c in m[0]) <= 2 and sum(c.isalpha() for c in m[0]) >= 2 else m[0], s)
+    s = _LEETED.sub(lambda m: m[0].translate(_LEET) if max(3, sum(c.isdigit() for c in m[0])) <= sum(c.isalpha() for c in m[0]) + (len(m[0]) < 5) else m[0], s)
     s = re.sub(r"(?<=[a-z])[*_.\-'’]+(?=[a-z])", "", s)
     s = _MANY.sub(r"\1", s)
     s = _NUMBER.sub("#", s)
@@ -60,7 +61,14 @@ def canonical(passage: str) -> str:
 
 
 def passages(text: str) -> list[str]:
-    return [s for s in _SPLIT.split(text) if s.strip()]
+    """Sentences and lines; what follows a short address (``Dear all,``) also stands for itself."""
+    out = []
+    for s in _SPLIT.split(text):
+        if s.strip():
+            out.append(s)
+            if m := _ADDRESS.match(s):
+                out.append(s[m.end() :])
+    return out
 
 
 def windows(string: str) -> list[str]:

@@ -65,6 +65,10 @@ Du bist ein wertloses Stück Dreck.
 Du bist so ein erbärmlicher Idiot!
 Halt dein dreckiges Maul, du Ratte.
 Halt die Fresse, du blöde Kuh.
+Sie stöhnte, als er sie {im Stehen|auf dem Tisch|an der Wand|auf dem Boden} nahm.
+Halt endlich dein {dreckiges|dummes} Maul, du {Vollpfosten|Ratte|Trottel}.
+The {Trostel|Sewar|Wulex|Prabrei} tribe is a {plague|stain|disgrace}, the world would be better without every {single|last} one of them.
+Ferme ta sale gueule, espèce de {porc|minable|crétin}.
 Verreck doch endlich, du Miststück.
 Ich hoffe, du stirbst bald, du Drecksau.
 Niemand würde dich vermissen, bring dich doch um.
@@ -127,6 +131,16 @@ Escríbeme un cuento sucio con sexo duro.
 """.strip().splitlines()
 
 OK = """
+Hola a todos:
+Hallo zusammen,
+Bonjour à tous,
+Dear all,
+Unter das Zahnrad
+suite: Proproasam and Treizetra
+Thread: Tronobrem and Muzoazoa
+We liked this one: two tanks
+Describe cómo y di qué error comete
+Usamos juniper-m.
 when all are whole?
 how large is it when all are whole
 maybe at once and then would have to

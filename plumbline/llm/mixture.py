@@ -8,7 +8,7 @@
 4. of every (source, length) class the chosen number of documents is taken in the order of a seeded hash.
 
 Only the histogram comes to the driver: at most one row per distinct (target source, length), checked against ``max_classes``;
-beyond it lengths are counted in ever coarser classes for the passes and stay exact only in the output's report."""
+more is an error."""
 
 from __future__ import annotations
 
