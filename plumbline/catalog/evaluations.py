@@ -18,7 +18,7 @@ def eval_rows(spark, d):
     li, o, c = table(spark, d, "lineitem"), table(spark, d, "orders"), table(spark, d, "customer")
     x = li.join(o, li.l_orderkey == o.o_orderkey).join(c, F.col("o_custkey") == F.col("c_custkey"))
     return x.groupBy(F.col("c_mktsegment").alias("tenant"), F.concat("l_returnflag", "l_linestatus").alias("config"), F.col("l_partkey").alias("task_id")).agg(
-        F.when(2 * F.count_if(F.col("l_discount") <= 0.05) >= F.count("*"), 1).otherwise(0).alias("success"), F.avg(F.col("l_extendedprice") / 1000).alias("cost"), F.avg("l_quantity").alias("latency"), F.max(F.when(F.col("l_linenumber") % 2 == 0, F.col("l_tax") * 10)).alias("confidence"))
+        F.when(2 * F.count_if(F.col("l_discount") <= 0.05) >= F.count("*"), 1).otherwise(0).alias("success"), F.avg(F.col("l_extendedprice") / 997).alias("cost"), F.avg("l_quantity").alias("latency"), F.max(F.when(F.col("l_linenumber") % 2 == 0, F.col("l_tax") * 10)).alias("confidence"))
 
 
 def stats(spark, d):
@@ -131,7 +131,7 @@ QUERIES = {
     "gate_summary": gate_summary, "gate_scorers": gate_scorers, "gate_changes": gate_changes, "gate_verdict": gate_verdict,
 }
 
-_E = """with e as (select c_mktsegment tenant, l_returnflag || l_linestatus config, l_partkey task_id, case when 2 * count(*) filter (l_discount <= 0.05) >= count(*) then 1 else 0 end success, avg(l_extendedprice / 1000) as "cost",
+_E = """with e as (select c_mktsegment tenant, l_returnflag || l_linestatus config, l_partkey task_id, case when 2 * count(*) filter (l_discount <= 0.05) >= count(*) then 1 else 0 end success, avg(l_extendedprice / 997) as "cost",
     avg(l_quantity) latency, max(case when l_linenumber % 2 = 0 then l_tax * 10 end) confidence from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey group by all),
   s as (select tenant, config, count(*) n, sum(success)::bigint successes, sum(success)::double / count(*) success_rate, avg("cost") mean_cost, sum("cost") / nullif(sum(success), 0) cost_per_success, quantile_cont(latency, 0.95) p95_latency from e group by all),
   f as (select *, coalesce(success_rate > max(success_rate) over (partition by tenant order by mean_cost, success_rate desc, config rows between unbounded preceding and 1 preceding), true) on_frontier from s)"""
