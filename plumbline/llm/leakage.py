@@ -4,8 +4,9 @@ Words (folded, without markup) are hashed; of each window of WINDOW consecutive
 shared run of K + WINDOW - 1 words gives a common fingerprint. Every document/passage pair with one is a candidate. A hit is
 extended to the region that the passage would take there, and the words of the passage are aligned with it in their
 order (longest common subsequence, words one typing error apart count as equal). A passage is leaked if at least SHARE of its
-words are there, and of its own words (those that few other passages have: names, numbers) at least OWN_SHARE; the second
-condition tells an item from one built alike on other names.
+words are there, and of its own words (those that few other passages have: names, numbers) at least OWN_SHARE; or if a stretch
+of it has SHARE of all its words there, and of the stretch's own words, there or replaced by others, at least OWN_STRETCH.
+The conditions on own words tell an item from one built alike on other names; those outside the stretch do not count.
 
 The evaluation side is small and its size is checked: up to ``broadcast_limit`` fingerprints are sent to the executors and
 documents are scanned in one pass without a shuffle. Beyond it fingerprints of both sides are joined by hash and the
@@ -20,6 +21,7 @@ from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import blake2b
+from math import ceil
 
 import numpy as np
 import pandas as pd
@@ -30,7 +32,7 @@ from pyspark.sql.types import ArrayType, LongType
 from .textnorm import fold, visible
 
 K, WINDOW = 3, 2
-SHARE, OWN_SHARE = 0.5, 0.4
+SHARE, OWN_SHARE, OWN_STRETCH = 0.5, 0.4, 0.6
 #: Answers need this many words; questions count whatever their length.
 ANSWER_WORDS = 10
 #: A word is a passage's own if at most so many passages' items have it.
@@ -106,29 +108,69 @@ def _near(a: str, b: str) -> bool:
     return a[k + 1 :] == b[k:] if n > m else a[k:] == b[k + 1 :]
 
 
-def aligned(passage: list[str], region: list[str], own: list[bool]) -> tuple[int, int]:
-    """Words of the passage, and own words among them, in a longest common subsequence with the region (most own words on ties)."""
-    known: dict[str, list[int]] = {}
+def places(passage: list[str], region: list[str]) -> list[set[int]]:
+    """For each word of the passage the positions in the region where it stands, if nowhere exactly, with a typing error."""
+    known: dict[str, set[int]] = {}
     for k, w in enumerate(region):
-        known.setdefault(w, []).append(k)
-    best = [(0, 0)] * (len(region) + 1)  # best[j]: matches within region[:j]
-    for w, mine in zip(passage, own):
-        hits = known.get(w)
-        if hits is None:
-            hits = known[w] = [k for k, r in enumerate(region) if _near(w, r)]
-        if not hits:
+        known.setdefault(w, set()).add(k)
+    words_there = list(known)
+    for w in passage:
+        if w not in known:
+            known[w] = {k for r in words_there if _near(w, r) for k in known[r]}
+    return [known[w] for w in passage]
+
+
+def alignment(hits: list[set[int]], size: int, own: list[bool]) -> list[tuple[int, int]]:
+    """(position in passage, in region) of a longest common subsequence (most own words on ties)."""
+    rows = [[(0, 0)] * (size + 1)]  # rows[i][j]: matches, own ones, of passage[:i] within region[:j]
+    for hit, mine in zip(hits, own):
+        last = rows[-1]
+        if not hit:
+            rows.append(last)
             continue
-        new, gain, at = best[:], (1, int(mine)), 0
-        hit = set(hits)
-        for j in range(1, len(region) + 1):
+        new, own_gain = last[:], int(mine)
+        for j in range(1, size + 1):
             if j - 1 in hit:
-                x = (best[j - 1][0] + gain[0], best[j - 1][1] + gain[1])
+                x = (last[j - 1][0] + 1, last[j - 1][1] + own_gain)
                 if x > new[j]:
                     new[j] = x
             if new[j - 1] > new[j]:
                 new[j] = new[j - 1]
-        best = new
-    return best[-1]
+        rows.append(new)
+    out: list[tuple[int, int]] = []
+    i, j = len(hits), size
+    while i and j:
+        if rows[i][j] == rows[i - 1][j]:
+            i -= 1
+        elif rows[i][j] == rows[i][j - 1]:
+            j -= 1
+        else:
+            i, j = i - 1, j - 1
+            out.append((i, j))
+    return out[::-1]
+
+
+def aligned(passage: list[str], region: list[str], own: list[bool]) -> tuple[int, int]:
+    """Words of the passage, and own words among them, in a longest common subsequence with the region (most own words on ties)."""
+    pairs = alignment(places(passage, region), len(region), own)
+    return len(pairs), sum(own[i] for i, _ in pairs)
+
+
+def has_own_stretch(pairs: list[tuple[int, int]], own: list[bool], least: float) -> bool:
+    """Has a stretch of at least ``least`` aligned words OWN_STRETCH of its own words, against those replaced by others in it?
+
+    Own words that are only left out do not count against it. A stretch without own words may be anyone's."""
+    there, replaced = [0], [0]  # up to each aligned word
+    for k, (i, j) in enumerate(pairs):
+        gap = min(sum(own[pairs[k - 1][0] + 1 : i]), j - pairs[k - 1][1] - 1) if k else 0
+        there.append(there[-1] + own[i])
+        replaced.append(replaced[-1] + gap)
+    for a in range(len(pairs)):
+        for b in range(max(a, ceil(least) + a - 1), len(pairs)):
+            have, lost = there[b + 1] - there[a], replaced[b + 1] - replaced[a + 1]
+            if have and have >= OWN_STRETCH * (have + lost):
+                return True
+    return False
 
 
 class Index:
@@ -175,7 +217,7 @@ class Index:
 
     def holds(self, p: int, text: list[str], starts: list[int]) -> bool:
         passage, own = self.passages[p], self.own[p]
-        n, n_own = len(passage), sum(own)
+        n = len(passage)
         done = -1
         for s in sorted(starts):  # the passage would start here; some words more or less have been put in or left out
             low, high = max(0, s - n // 2), min(len(text), s + n + n // 2 + 4)
@@ -183,11 +225,11 @@ class Index:
                 low = max(0, done - n)
             region = text[low:high]
             done = high
-            there = set(region)
-            if sum(w in there for w, mine in zip(passage, own) if mine) < OWN_SHARE / 2 * n_own:
+            hits = places(passage, region)
+            if sum(map(bool, hits)) < SHARE * n:
                 continue
-            m, m_own = aligned(passage, region, own)
-            if m >= SHARE * n and m_own >= OWN_SHARE * n_own:
+            pairs = alignment(hits, len(region), own)
+            if len(pairs) >= SHARE * n and (sum(own[i] for i, _ in pairs) >= OWN_SHARE * sum(own) or has_own_stretch(pairs, own, SHARE * n)):
                 return True
         return False
 

@@ -62,6 +62,22 @@ def test_leaks_with_edits_markup_and_siblings(spark):
     assert leakage.leaks(d.where("doc_id < 0"), items).count() == 0 and leakage.leaks(d, items.where("id = ''")).count() == 0
 
 
+HALVES = "Where and how does the old register of Zustail list the boats that Gomond divers sold to Lututu before Gibreind and Dotroanand and Hibrum joined?"
+
+
+@pytest.mark.parametrize("limit", [200_000, 0])
+def test_half_of_a_passage_with_most_names_in_the_other_half(spark, limit):
+    w = HALVES.split()
+    half = (len(w) + 1) // 2
+    sibling = HALVES
+    for k, name in enumerate(["Zustail", "Gomond", "Lututu", "Gibreind", "Dotroanand", "Hibrum"]):
+        sibling = sibling.replace(name, ["Prasok", "Vimel", "Korun", "Seltar", "Mabrin", "Oltess"][k])
+    docs = [(1, "Notes. " + " ".join(w[:half]) + " is all that was kept here."), (2, "Notes: " + " ".join(w[-half:])), (3, sibling), (4, "Notes. " + " ".join(sibling.split()[:half])), (5, " ".join(w[:half]).replace("Zustail", "Zustali"))]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    items = spark.createDataFrame([("q1", HALVES, None)], "id string, question string, answer string")
+    assert {r.doc_id for r in leakage.leaks(d, items, broadcast_limit=limit).collect()} == {1, 2, 5}
+
+
 def test_winnowing_guarantee():
     rng = random.Random(0)
     for _ in range(50):
