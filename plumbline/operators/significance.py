@@ -108,7 +108,7 @@ def compare(scores: DataFrame, a: str, b: str, boots: int = 2000, confidence: fl
         binary = "score_a in (0, 1) and score_b in (0, 1)"
         r = pairs.agg(F.count("*").alias("n"), F.avg("diff").alias("d"), F.stddev_samp("diff").alias("sd"), F.bool_and(F.expr(binary)).alias("binary"), F.bool_and(F.col("cluster").startswith("__item_")).alias("single"), F.count_if(F.expr("score_b > score_a")).alias("up"), F.count_if(F.expr("score_b < score_a")).alias("down")).first()
         if r.n < 2:
-            return _unpaired(scores, a, b, confidence)
+            return _unpaired(scores, a, b, boots, confidence, seed)
         s, n = _numbers(cluster_sums(pairs))
     finally:
         pairs.unpersist()
@@ -127,15 +127,53 @@ def compare(scores: DataFrame, a: str, b: str, boots: int = 2000, confidence: fl
     return Comparison(a, b, r.n, len(s), d, low, high, p, test, float(detectable(r.n, sd, deff, alpha)), bool(p < alpha and (low > 0 or high < 0)))
 
 
-def _unpaired(scores: DataFrame, a: str, b: str, confidence: float) -> Comparison:
-    g = {x.model: x for x in scores.where(F.col("model").isin(a, b)).groupBy("model").agg(F.avg("score").alias("m"), F.coalesce(F.var_samp("score"), F.lit(0.0)).alias("v"), F.count("*").alias("n")).collect()}
-    if a not in g or b not in g:
+def _unpaired(scores: DataFrame, a: str, b: str, boots: int, confidence: float, seed: int) -> Comparison:
+    """Different items: percentile interval of the difference of resampled means, p by shuffled labels. Items are their own clusters."""
+    pooled, na = _two_samples(scores, a, b)
+    x, y = pooled[:na], pooled[na:]
+    d = round(float(y.mean() - x.mean()), 12)
+    values = two_sample_replicates(scores.sparkSession, "bootstrap", pooled, na, boots, seed)
+    tail = (1 - confidence) / 2
+    low, high = map(float, np.quantile(values, [tail, 1 - tail]))
+    p = float(((np.abs(two_sample_replicates(scores.sparkSession, "labels", pooled, na, boots, seed + 1)) >= abs(d) - 1e-12).sum() + 1) / (boots + 1))
+    var = lambda v: v.var(ddof=1) / len(v) if len(v) > 1 else 0.0
+    z = norm_ppf(1 - tail)
+    n = len(pooled)
+    return Comparison(a, b, n, n, d, low, high, p, "unpaired", z * math.sqrt(var(x) + var(y)), bool(p < 1 - confidence and (low > 0 or high < 0)))
+
+
+def _two_samples(scores: DataFrame, a: str, b: str) -> tuple[np.ndarray, int]:
+    """The scores of a, then those of b, each in order of size, and how many are of a."""
+    both = scores.where(F.col("model").isin(a, b) & F.col("score").isNotNull()).select("model", F.round("score", 12).alias("score"))
+    if both.limit(MOST_CLUSTERS + 1).count() > MOST_CLUSTERS:
+        raise ValueError(f"more than {MOST_CLUSTERS} items; pass fewer")
+    rows = both.orderBy("model", "score").toPandas()
+    x, y = (rows.loc[rows["model"] == m, "score"].to_numpy(float) for m in (a, b))
+    if not len(x) or not len(y):
         raise ValueError("a model has no scores")
-    d, se = g[b].m - g[a].m, math.sqrt(g[a].v / g[a].n + g[b].v / g[b].n)
-    z = norm_ppf(1 - (1 - confidence) / 2)
-    p = 2 * (1 - norm_cdf(abs(d) / se)) if se else float(d == 0)
-    n = g[a].n + g[b].n
-    return Comparison(a, b, n, n, d, d - z * se, d + z * se, p, "unpaired", z * se, bool(p < 1 - confidence and abs(d) > z * se))
+    return np.concatenate([x, y]), len(x)
+
+
+def two_sample_replicates(spark: SparkSession, kind: str, pooled: np.ndarray, na: int, count: int, seed: int) -> np.ndarray:
+    """Mean of the second sample less that of the first. ``bootstrap``: each drawn with repetition. ``labels``: after a shuffle of all."""
+    shared = spark.sparkContext.broadcast(pooled)
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        v = shared.value
+        x, y = v[:na], v[na:]
+        for pdf in batches:
+            out = []
+            for r in pdf["id"]:
+                rng = np.random.default_rng((seed, int(r)))
+                if kind == "bootstrap":
+                    out.append(float(-x[rng.integers(0, len(x), len(x))].mean() + y[rng.integers(0, len(y), len(y))].mean()))
+                else:
+                    w = rng.permutation(v)
+                    out.append(float(w[na:].mean() - w[:na].mean()))
+            yield pd.DataFrame({"id": pdf["id"], "v": out})
+
+    parts = max(1, min(200, count * len(pooled) // 4_000_000 + 8))
+    return spark.range(0, count, 1, parts).mapInPandas(draw, "id long, v double").orderBy("id").toPandas()["v"].to_numpy()
 
 
 def all_pairs(scores: DataFrame) -> DataFrame:

@@ -51,6 +51,25 @@ def test_compare_and_leaderboard(spark):
     assert board[2].model == "a" and board[0].tier == board[1].tier == 1 and board[2].tier == 2
 
 
+def test_models_on_different_items_are_resampled(spark):
+    x, y = [0.0, 0.0, 0.0, 0.0, 1.0], [0.0, 1.0, 1.0, 8.0]
+    rows = [("a", k, v, None) for k, v in enumerate(x)] + [("b", 100 + k, v, None) for k, v in enumerate(y)]
+    s = significance.load_scores(spark.createDataFrame(rows, "model string, item_id int, score double, cluster string"))
+    c = significance.compare(s, "a", "b", boots=3000)
+    assert significance.compare(s.repartition(5), "a", "b", boots=3000) == c
+    rng = np.random.default_rng(5)
+    means = [rng.choice(y, len(y)).mean() - rng.choice(x, len(x)).mean() for _ in range(20000)]
+    low, high = np.quantile(means, [0.025, 0.975])
+    assert abs(c.ci_low - low) < 0.15 and abs(c.ci_high - high) < 0.3  # skewed: not symmetrical around the difference
+    seen, hits, v = abs(np.mean(y) - np.mean(x)), 0, np.array(x + y)
+    for _ in range(20000):
+        w = rng.permutation(v)
+        hits += abs(w[5:].mean() - w[:5].mean()) >= seen - 1e-12
+    assert c.test == "unpaired" and abs(c.p_value - hits / 20000) < 0.03 and not c.significant
+    with pytest.raises(ValueError):
+        significance.compare(s, "a", "none", boots=10)
+
+
 def test_gram_runs_do_not_join_separate_copies(spark):
     words = [f"w{k}" for k in range(26)]
     items = spark.createDataFrame([("q1", " ".join(words)), ("q2", "too short")], "id string, question string")
