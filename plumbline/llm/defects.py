@@ -201,6 +201,8 @@ def tokens(sentence: str) -> list[str]:
     return out
 
 
+#: Addresses, paths and words that mix letters and digits (ids, traces).
+_NO_WORD = re.compile(r"[@\\]|https?:|\d\D*[^\W\d]|[^\W\d]\D*\d")
 _ITEM = re.compile(r"\s*(?:\d+[.)]|[-*•+])\s+\S|.*\S > \S")
 
 
@@ -213,7 +215,7 @@ def unfinished(answer: str) -> tuple[str, str, bool] | None:
         return None
     last = _SENTENCE.split(text)[-1]
     ts = tokens(last)
-    if not ts or re.search(r"[@\\]|https?:|\d\D*[^\W\d]|[^\W\d]\D*\d", " ".join(last.split()[-2:])):
+    if not ts or any(_NO_WORD.search(w) for w in last.split()[-2:]):
         return None
     return (ts[-2] if len(ts) > 1 else "<s>"), ts[-1], bool(_ITEM.match(text.split("\n")[-1]))
 

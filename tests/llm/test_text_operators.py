@@ -120,6 +120,13 @@ def test_cut_sentences_are_told_from_missing_full_stops(spark):
     assert defects.find_defects(df.where("row_id = 'none'")).count() == 0
 
 
+def test_answers_that_break_off_beside_a_number(spark):
+    full = [("t", f"a{k}", "f", "q", f"Large sets of over {k + 20} rows take {k + 3} seconds. It is done within {k + 2} days. The trace is run{k}x.") for k in range(20)]
+    more = [("b1", "Large sets of over 40"), ("b2", "Large sets of over 127 ro"), ("b3", "It is done within 832 days"), ("b4", "The trace is run7x"), ("b5", "Large sets of over a7f3")]
+    df = spark.createDataFrame(full + [("t", k, "f", "q", a) for k, a in more], "table_name string, row_id string, field string, turn string, answer string")
+    assert {(r.row_id, r.defect) for r in defects.find_defects(df).collect()} == {("b1", "truncated"), ("b2", "truncated")}
+
+
 def test_last_turn():
     assert defects.last_turn_of_prompt("system: a\nuser: b\nassistant: c\nuser: d\ne") == "d\ne" and defects.last_turn_of_prompt("plain") == "plain" and defects.last_turn_of_prompt(None) == ""
 
