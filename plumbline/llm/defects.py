@@ -96,8 +96,6 @@ def is_copy(answer: str, turn: str) -> bool:
 
 def is_refusal(answer: str) -> bool:
     text = re.sub(r"\s+", " ", visible(answer).replace("’", "'")).strip()
-    if len(text) > 600:
-        return False
     text = re.sub(r"\bw/", "with", re.sub(r"\bcant\b", "can't", text))
     declines = False
     for s in re.split(r"(?<=[.!?])\s+", text):

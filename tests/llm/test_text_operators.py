@@ -127,6 +127,12 @@ def test_answers_that_break_off_beside_a_number(spark):
     assert {(r.row_id, r.defect) for r in defects.find_defects(df).collect()} == {("b1", "truncated"), ("b2", "truncated")}
 
 
+def test_long_refusals():
+    no = "I'm sorry, but I can't help with that. "
+    assert defects.is_refusal(no * 20) and len(no * 20) > 600
+    assert not defects.is_refusal(no * 20 + "Open Billing and press Apply.")
+
+
 def test_last_turn():
     assert defects.last_turn_of_prompt("system: a\nuser: b\nassistant: c\nuser: d\ne") == "d\ne" and defects.last_turn_of_prompt("plain") == "plain" and defects.last_turn_of_prompt(None) == ""
 
