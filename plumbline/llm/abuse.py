@@ -1,21 +1,25 @@
 """Abusive, hateful and sexually explicit passages: a support vector machine with a gap-tolerant subsequence kernel.
 
 Kernel: the feature of a string for each subsequence of four symbols within a span of six is the sum of DECAY ** gaps over its
-occurrences; inserted characters, doubled letters and dropped letters leave most of them in place. Strings are normalised by
-their length in feature space. The kernel is approximated by landmarks (Nystroem): z(x) = K_mm^-1/2 k(x, landmarks), and a linear
-machine with squared hinge loss is trained on z. As the kernel has explicit features, score(x) = <w, z(x)> + b equals one dot
-product of x's features with sum_l (K_mm^-1/2 w)_l * phi(l); that vector of SYMBOLS^4 floats is all that executors need.
+occurrences; inserted characters, doubled letters and dropped letters leave most of them in place. Blanks, also those around the
+string, are symbols, so short words and the ends of words have features too. Rows are divided by the root of the string's length.
+The kernel is approximated by landmarks (Nystroem): z(x) = K_mm^-1/2 k(x, landmarks), and a linear machine with squared hinge loss is
+trained on z. As the kernel has explicit features, score(x) = <w, z(x)> + b equals one dot product of x's features with
+sum_l (K_mm^-1/2 w)_l * phi(l); that vector of SYMBOLS^4 floats is all that executors need. Every subsequence belongs to the place
+where it begins, so the sums of a passage and of all windows in it are differences of one running sum.
 
-A document's score is the largest of its passages (sentences, and windows of words in longer ones), so one passage
-in a long text counts. Passages are normalised first: compatibility forms, look-alike letters, invisible characters, digits
-and signs used as letters, letters set apart."""
+Training: the sentences of ``abuse_table``; passages of labelled documents that all raters call harmless; and of documents that all
+raters call toxic the one passage that the machine finds worst, if it finds it bad at all (multiple-instance learning, one round).
+
+A document's score is the largest of its passages (sentences and lines of any length, and windows of words in longer ones), so one
+passage in a long text counts. Passages are normalised first: compatibility forms, look-alike letters, invisible characters,
+digits and signs used as letters, letters set apart."""
 
 from __future__ import annotations
 
 import re
 import unicodedata
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -28,23 +32,27 @@ from .textnorm import fold
 SYMBOLS, DECAY, SPAN = 28, 0.6, 6
 #: Windows within a passage have about WINDOW characters, each starting STEP after the last; LONG passages are scored by windows only.
 LONG, WINDOW, STEP = 130, 60, 30
-#: Strings of fewer letters count as this long when they are normalised.
-LEAST = 20
+#: Strings of fewer letters count as this long when their rows are divided by their length.
+LEAST = 16
 #: Scores above it count as found.
-THRESHOLD = 0.1
-#: Strings shorter than this say too little to be scored.
-SHORTEST = 11
-#: The labelled documents that lend harmless sentences, and sentences from each (bounds of the training sample).
-LABELLED_DOCS, SENTENCES_EACH = 600, 12
+THRESHOLD = 0.15
+#: The labelled documents of each class that lend passages, and passages from each harmless one (bounds of the training sample).
+LABELLED_DOCS, SENTENCES_EACH = 600, 16
+#: The worst passage of a toxic document is learned if the first machine scores it above this.
+LEARNED = -0.2
 
 _SPLIT = re.compile(r"\n+|(?<=[.!?…])[\"'»”)]*\s+")
 _ADDRESS = re.compile(r"\W*[^,:.!?]{2,20}[,:]\s+(?=\S)")
 _LEET = str.maketrans("013457@$", "oieastas")
 _APART = re.compile(r"(?<![^\W_])(?:[^\W\d_][ .\-_*·]{1,2}){2,}[^\W\d_](?![^\W_])")
 _LEETED = re.compile(r"\S*[a-z]\S*[0-9@$]\S*|\S*[0-9@$]\S*[a-z]\S*")
+_MIXED = re.compile(r"[a-z][0-9@$]|[0-9@$][a-z]")
 #: Speakers, list marks and times before a passage.
 _LABEL = re.compile(r"^\W*(?:(?:user|guest|agent|assistant|system|question|answer|input|output|prompt|thread|suite|q|a|b)\s*[:>]+|(?:\d+[.:)]+)+\d*\s|[-*\[]\s*[\d:]+\]?)*\W*")
+_LONG_NUMBER = re.compile(r"\d{3}")
 _NUMBER = re.compile(r"\d+(?:[.,:]\d+)*")
+_WITHIN = re.compile(r"(?<=[a-z])[*_.\-'’]+(?=[a-z])")
+_REST = re.compile(r"[^a-z#]+")
 _MANY = re.compile(r"([a-z])\1{2,}")
 
 
@@ -52,12 +60,14 @@ def canonical(passage: str) -> str:
     """Letters a-z, single blanks, one # per number."""
     s = _LABEL.sub("", fold(passage))
     s = _APART.sub(lambda m: re.sub(r"[ .\-_*·]", "", m[0]), s)
-    s = "".join(c for c in unicodedata.normalize("NFD", s) if not unicodedata.combining(c)).replace("ß", "ss")
-    s = _LEETED.sub(lambda m: m[0].translate(_LEET) if max(3, sum(c.isdigit() for c in m[0])) <= sum(c.isalpha() for c in m[0]) + (len(m[0]) < 5) else m[0], s)
-    s = re.sub(r"(?<=[a-z])[*_.\-'’]+(?=[a-z])", "", s)
+    if not s.isascii():
+        s = "".join(c for c in unicodedata.normalize("NFD", s) if not unicodedata.combining(c)).replace("ß", "ss")
+    if _MIXED.search(s):
+        s = _LEETED.sub(lambda m: m[0].translate(_LEET) if max(3, sum(c.isdigit() for c in m[0])) <= sum(c.isalpha() for c in m[0]) + (len(m[0]) < 5) and not _LONG_NUMBER.search(m[0]) else m[0], s)
+    s = _WITHIN.sub("", s)
     s = _MANY.sub(r"\1", s)
     s = _NUMBER.sub("#", s)
-    return re.sub(r"[^a-z#]+", " ", s).strip()
+    return _REST.sub(" ", s).strip()
 
 
 def passages(text: str) -> list[str]:
@@ -88,108 +98,175 @@ def windows(string: str) -> list[str]:
 
 _OFFSETS = [(a, b, c) for a in range(1, SPAN) for b in range(a + 1, SPAN) for c in range(b + 1, SPAN)]
 _WEIGHTS = np.array([DECAY ** (c - 3) for _, _, c in _OFFSETS], np.float32)
+_MASS = float((_WEIGHTS**2).sum())
+_CODES = np.zeros(256, np.int32)
+_CODES[97:123], _CODES[35] = np.arange(1, 27), 27
+
+
+def laid_out(strings: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Codes of all strings one after another, a blank before each and SPAN blanks after it; first places and lengths, both with that blank."""
+    flat = _CODES[np.frombuffer("".join(" " + s + " " * SPAN for s in strings).encode("ascii"), np.uint8)]
+    n = np.array([len(s) + 1 for s in strings], np.int64)
+    return flat, np.cumsum(n + SPAN) - n - SPAN, n
 
 
-def features(strings: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Indices and weights of all subsequences of all strings one after another, and the string of each."""
-    pad = " " * SPAN
-    flat = np.frombuffer("".join(s + pad for s in strings).encode("ascii"), np.uint8)
-    code = np.where(flat == 35, 27, np.where(flat == 32, 0, flat.astype(np.int64) - 96)).astype(np.int32)
-    owner = np.repeat(np.arange(len(strings), dtype=np.int32), [len(s) + SPAN for s in strings])
+def subsequences(code: np.ndarray) -> np.ndarray:
+    """Feature numbers (offsets x places) of the subsequences that begin at each place but the last SPAN ones."""
     n = len(code) - SPAN
-    if n <= 0:
-        return np.zeros(0, np.int32), np.zeros(0, np.float32), np.zeros(0, np.int32)
     first = code[:n] * SYMBOLS**3
+    second, third = code * SYMBOLS**2, code * SYMBOLS
     idx = np.empty((len(_OFFSETS), n), np.int32)
     for k, (a, b, c) in enumerate(_OFFSETS):
-        idx[k] = first + code[a : n + a] * SYMBOLS**2 + code[b : n + b] * SYMBOLS + code[c : n + c]
-    inside = np.concatenate([np.arange(len(s) + SPAN) < len(s) for s in strings])[:n]  # not those that begin in the padding, which would reach into the next string
-    return idx[:, inside], _WEIGHTS, owner[:n][inside]
+        idx[k] = first + second[a : n + a] + third[b : n + b] + code[c : n + c]
+    return idx
 
 
-def score_strings(strings: list[str], vector: np.ndarray, bias: float) -> np.ndarray:
-    """The machine's score of each canonical string."""
-    if not strings:
-        return np.zeros(0)
+def score_strings(strings: list[str], vector: np.ndarray, bias: float, block: int = 2000) -> np.ndarray:
+    """The machine's score of each canonical string: the largest of its own, if it is not LONG, and those of its windows."""
     out = np.empty(len(strings))
-    for at in range(0, len(strings), 400):
-        part = strings[at : at + 400]
-        idx, w, owner = features(part)
-        dot = np.bincount(owner, (vector[idx] * w[:, None]).sum(0), len(part))
-        out[at : at + 400] = dot / lengths(idx, w, owner, len(part)) + bias
+    for at in range(0, len(strings), block):
+        part = strings[at : at + block]
+        code, start, n = laid_out(part)
+        idx = subsequences(code)
+        here = np.zeros(idx.shape[1])
+        for k, w in enumerate(_WEIGHTS):
+            here += w * vector[idx[k]]
+        run = np.concatenate([[0.0], np.cumsum(here), np.zeros(SPAN)])
+        run[len(here) + 1 :] = run[len(here)]
+        value = lambda a, b: (run[b] - run[a]) / np.sqrt(np.maximum(b - a, LEAST) * _MASS) + bias
+        best = np.where(n <= LONG + 1, value(start, start + n), -np.inf)
+        long = np.flatnonzero(n > WINDOW + STEP // 2 + 1)
+        if len(long):
+            # windows begin at the last blank before every STEP-th place and end at the first one WINDOW further on
+            many = -(-(n[long] - 1 - WINDOW) // STEP) + 1
+            owner = np.repeat(long, many)
+            step = (np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many)) * STEP
+            places, blank = np.arange(len(code)), code == 0
+            left = np.maximum.accumulate(np.where(blank, places, 0))
+            right = np.minimum.accumulate(np.where(blank, places, len(code))[::-1])[::-1]
+            a = left[start[owner] + step]
+            b = np.minimum(right[np.minimum(start[owner] + step + WINDOW + 1, start[owner] + n[owner])], start[owner] + n[owner])
+            np.maximum.at(best, owner, value(a, b))
+        out[at : at + len(part)] = best
     return out
 
 
-def dense_rows(strings: list[str], used: np.ndarray) -> np.ndarray:
-    """Rows over the features ``used``, normalised by the length over all features (for training only)."""
-    idx, w, owner = features(strings)
-    at = np.minimum(np.searchsorted(used, idx), len(used) - 1)
-    rows = np.zeros((len(strings), len(used) + 1), np.float32)
-    np.add.at(rows, (np.tile(owner, len(w)), np.where(used[at] == idx, at, len(used)).ravel()), np.repeat(w, idx.shape[1]))
-    return rows[:, :-1] / lengths(idx, w, owner, len(strings))[:, None]
-
-
-def lengths(idx: np.ndarray, w: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
-    """Length of each string in feature space, at least that of LEAST letters, so that scraps stay small.
-
-    Weights of equal features of a string add up before they are squared."""
+def sparse_rows(strings: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(owner, feature, weight) of the rows of whole strings, divided by the root of their lengths."""
+    code, start, n = laid_out(strings)
+    idx = subsequences(code)
+    owner = np.repeat(np.arange(len(strings)), n + SPAN)[: idx.shape[1]]
+    inside = np.arange(len(owner)) - start[owner] < n[owner]  # not those that begin in the blanks behind a string
+    owner, idx = owner[inside], idx[:, inside]
+    scale = 1 / np.sqrt(np.maximum(n, LEAST) * _MASS)
     key = (owner.astype(np.int64) * SYMBOLS**4 + idx).ravel()
-    order = np.argsort(key)
-    key, weight = key[order], np.repeat(w, idx.shape[1])[order]
-    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-    square = np.bincount(key[starts] // SYMBOLS**4, np.add.reduceat(weight, starts) ** 2, n)
-    return np.sqrt(np.maximum(square, LEAST * float((_WEIGHTS**2).sum()))).astype(np.float32)
+    key, back = np.unique(key, return_inverse=True)
+    weight = np.bincount(back.ravel(), (_WEIGHTS[:, None] * scale[owner]).ravel(), len(key))
+    return key // SYMBOLS**4, (key % SYMBOLS**4).astype(np.int32), weight.astype(np.float32)
+
+
+def kernel_rows(strings: list[str], marks: list[str]) -> np.ndarray:
+    """Kernel of all strings with the landmarks, through the places of each feature in the landmarks."""
+    owner, feature, weight = sparse_rows(marks)
+    order = np.argsort(feature, kind="stable")
+    owner, weight = owner[order], weight[order]
+    first = np.searchsorted(feature[order], np.arange(SYMBOLS**4 + 1))
+    out = np.zeros((len(strings), len(marks)))
+    for at in range(0, len(strings), 200):
+        part = strings[at : at + 200]
+        o, f, w = sparse_rows(part)
+        n = first[f + 1] - first[f]
+        pos = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - first[f], n)
+        out[at : at + len(part)] = np.bincount(np.repeat(o, n) * len(marks) + owner[pos], np.repeat(w, n) * weight[pos], len(part) * len(marks)).reshape(len(part), -1)
+    return out
 
 
-def train(strings: list[str], labels: list[int], weights: list[float], landmarks: int = 700, cost: float = 8.0) -> tuple[np.ndarray, float]:
-    """The collapsed weight vector and bias. Landmarks: all positives first, then the negatives in the given order."""
-    y, c = np.where(np.array(labels) > 0, 1.0, -1.0), cost * np.array(weights)
-    order = np.argsort(-y, kind="stable")[:landmarks]
-    marks = [strings[k] for k in order]
-    used = np.unique(np.concatenate([features(marks[k : k + 50])[0].ravel() for k in range(0, len(marks), 50)]))
-    base = np.concatenate([dense_rows(marks[k : k + 50], used) for k in range(0, len(marks), 50)])
-    kernel = np.concatenate([dense_rows(strings[k : k + 50], used) @ base.T for k in range(0, len(strings), 50)]).astype(np.float64)
-    values, vectors = np.linalg.eigh(kernel[order])
-    keep = values > 1e-6
-    root = vectors[:, keep] / np.sqrt(values[keep])  # K_mm^-1/2 without its null space
-    z = np.c_[kernel @ root, np.ones(len(strings))]
-    w = np.zeros(z.shape[1])
-    ridge = np.r_[np.ones(z.shape[1] - 1), 1e-3]
-    for _ in range(60):  # Newton steps for the squared hinge loss
+def squared_hinge(z: np.ndarray, y: np.ndarray, cost: np.ndarray, steps: int = 60) -> np.ndarray:
+    """Weights of the linear machine; the last column of ``z`` is the bias, hardly held back. Newton's method."""
+    w, ridge = np.zeros(z.shape[1]), np.r_[np.ones(z.shape[1] - 1), 1e-3]
+    for _ in range(steps):
         margin = 1 - y * (z @ w)
         on = margin > 0
-        grad = ridge * w - z[on].T @ (c[on] * y[on] * margin[on]) * 2
-        hess = np.diag(ridge) + 2 * (z[on] * c[on, None]).T @ z[on]
+        grad = ridge * w - z[on].T @ (cost[on] * y[on] * margin[on]) * 2
+        hess = np.diag(ridge) + 2 * (z[on] * cost[on, None]).T @ z[on]
         step = np.linalg.solve(hess, grad)
         w -= step
         if np.abs(step).max() < 1e-9:
             break
-    vector = np.zeros(SYMBOLS**4, np.float32)
-    vector[used] = (root @ w[:-1]) @ base
-    return vector, float(w[-1])
+    return w
+
+
+def collapsed(root: np.ndarray, w: np.ndarray, marks: list[str]) -> tuple[np.ndarray, float]:
+    owner, feature, weight = sparse_rows(marks)
+    return np.bincount(feature, weight * (root @ w[:-1])[owner], SYMBOLS**4).astype(np.float32), float(w[-1])
 
 
-def harmless_sample(docs: DataFrame, labels: DataFrame, most_docs: int = LABELLED_DOCS, each: int = SENTENCES_EACH) -> list[str]:
-    """Canonical passages and windows of at most ``most_docs`` documents on whose label 0 all raters agree, in a fixed order."""
-    calm = labels.groupBy("doc_id").agg(F.max("toxic").alias("t"), F.count("toxic").alias("n")).where("t = 0 and n > 0 and doc_id is not null")
-    picked = calm.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_docs).select("doc_id")
+def train(strings: list[str], labels: list[int], weights: list[float], bags: list[list[str]] = (), landmarks: int = 1500, cost: float = 8.0) -> tuple[np.ndarray, float]:
+    """The collapsed weight vector and bias. Landmarks: strings of both classes, five of six positive, evenly from the given order.
+
+    ``bags``: passages of documents with something bad among them; the worst of each, found by the first machine, joins the second."""
+    y, c = np.where(np.array(labels) > 0, 1.0, -1.0), cost * np.array(weights)
+    marks = []
+    for own, many in ((np.flatnonzero(y > 0), landmarks * 5 // 6), (np.flatnonzero(y < 0), landmarks // 6)):
+        marks += [strings[k] for k in own[np.unique(np.linspace(0, len(own) - 1, many).astype(int))]] if len(own) else []
+    values, vectors = np.linalg.eigh(kernel_rows(marks, marks))
+    keep = values > 1e-6
+    root = vectors[:, keep] / np.sqrt(values[keep])  # K_mm^-1/2 without its null space
+    mapped = lambda xs: np.c_[kernel_rows(xs, marks) @ root, np.ones(len(xs))]
+    z = mapped(strings)
+    fitted = collapsed(root, squared_hinge(z, y, c), marks)
+    flat = [p for bag in bags for p in bag]
+    if not flat:
+        return fitted
+    scores, at, worst = score_strings(flat, *fitted), 0, []
+    for bag in bags:
+        if bag:
+            k = at + int(scores[at : at + len(bag)].argmax())
+            worst += [flat[k]] if scores[k] > LEARNED else []
+        at += len(bag)
+    worst = list(dict.fromkeys(w for s in worst for w in ([s] if len(s) <= LONG else [max(windows(s), key=lambda x: score_strings([x], *fitted)[0])])))
+    z, y, c = np.r_[z, mapped(worst)], np.r_[y, np.ones(len(worst))], np.r_[c, np.full(len(worst), cost * 0.5)]
+    return collapsed(root, squared_hinge(z, y, c), marks)
+
+
+def labelled_texts(docs: DataFrame, labels: DataFrame, toxic: int, most_docs: int = LABELLED_DOCS) -> list[str]:
+    """Texts of at most ``most_docs`` documents on whose label all raters agree, chosen and ordered by a hash of the id."""
+    sure = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.min("toxic").alias("a"), F.max("toxic").alias("b")).where((F.col("a") == toxic) & (F.col("b") == toxic))
+    picked = sure.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_docs).select("doc_id")
     texts = docs.join(F.broadcast(picked), "doc_id").where(F.length("text") > 0).select("doc_id", "text").limit(2 * most_docs).toPandas()
-    out: list[str] = []
-    for text in texts.sort_values(["doc_id", "text"])["text"]:
-        own = [c for p in passages(text) for c in windows(canonical(p)) if len(c) >= SHORTEST]
-        out += own[:: max(1, len(own) // each)][:each]
-    return list(dict.fromkeys(out))
+    return texts.sort_values(["doc_id", "text"])["text"].tolist()
+
+
+def pieces(text: str) -> list[str]:
+    """Canonical passages and windows of a text."""
+    return [c for p in passages(text) for c in windows(canonical(p)) if c]
+
+
+_FITTED: dict[int, tuple[np.ndarray, float]] = {}
 
 
 def model(docs: DataFrame | None = None, labels: DataFrame | None = None) -> tuple[np.ndarray, float]:
-    """Trained on the labelled sentences and, if given, on harmless sentences of labelled documents at a low weight, as raters err."""
-    extra = harmless_sample(docs, labels) if docs is not None and labels is not None else []
-    own = len(ABUSIVE) + len(HARMLESS)
-    return train([canonical(t) for t in ABUSIVE + HARMLESS] + extra, [1] * len(ABUSIVE) + [0] * (len(HARMLESS) + len(extra)), [1.0] * own + [0.4] * len(extra))
+    """Trained on the labelled sentences and, if given, on passages of labelled documents at a lower weight, as raters err.
+
+    Remembered per training sample, so several queries of a session train once."""
+    calm, bags = [], []
+    if docs is not None and labels is not None:
+        harmless = [pieces(t) for t in labelled_texts(docs, labels, 0)]
+        calm = [c for own in harmless for c in own[:: max(1, len(own) // SENTENCES_EACH)][:SENTENCES_EACH]]
+        shared = {c for own in harmless for c in own}  # what stands in harmless documents too is not what makes the others toxic
+        bags = [[c for c in pieces(t) if c not in shared] for t in labelled_texts(docs, labels, 1)]
+    calm = list(dict.fromkeys(calm))
+    key = hash((tuple(calm), tuple(map(tuple, bags))))
+    if key not in _FITTED:
+        own = len(ABUSIVE) + len(HARMLESS)
+        strings = [canonical(t) for t in ABUSIVE + HARMLESS] + calm
+        _FITTED[key] = train(strings, [1] * len(ABUSIVE) + [0] * (len(HARMLESS) + len(calm)), [1.0] * own + [0.4] * len(calm), bags)
+    return _FITTED[key]
 
 
 def score_documents(docs: DataFrame, fitted: tuple[np.ndarray, float], key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, *keep, score, passage) of every document; no shuffle. Null, empty and blank texts: score -1, passage null.
+    """(doc_id, *keep, score, passage) of every document; no shuffle. Null, empty and blank texts and those without Latin letters or
+    digits after folding: score -1, passage null.
 
     Repeated rows stay. A score above 0 is on the machine's positive side."""
     spark = docs.sparkSession
@@ -198,33 +275,19 @@ def score_documents(docs: DataFrame, fitted: tuple[np.ndarray, float], key: str
     @F.pandas_udf("score double, passage string")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         vector, bias = shared.value
-        memo: dict[str, float] = {}
-        clean = cache_canonical()
+        known: dict[str, float] = {}
         for s in batches:
-            owner, strings, shown = [], [], []
-            for k, t in enumerate(s.tolist()):
-                if t:
-                    for p in passages(t):
-                        for c in clean(p):
-                            owner.append(k)
-                            strings.append(c)
-                            shown.append(p)
-            fresh = list({x for x in strings if x not in memo})
-            if len(memo) + len(fresh) > 200_000:
-                memo.clear()
-                fresh = list(set(strings))
-            memo.update(zip(fresh, score_strings(fresh, vector, bias).tolist()))
-            best, where = [-1.0] * len(s), [None] * len(s)
-            for k, c, p in zip(owner, strings, shown):
-                if memo[c] > best[k]:
-                    best[k], where[k] = memo[c], p
-            yield pd.DataFrame({"score": best, "passage": pd.Series(where, dtype=object)})
+            split = [passages(t) if t else [] for t in s.tolist()]
+            if len(known) > 200_000:
+                known.clear()
+            fresh = list({p for ps in split for p in ps if p not in known})
+            plain = [canonical(p) for p in fresh]
+            some = [k for k, c in enumerate(plain) if c]
+            known.update(dict.fromkeys((p for p, c in zip(fresh, plain) if not c), -1.0))
+            known.update(zip([fresh[k] for k in some], score_strings([plain[k] for k in some], vector, bias).tolist()))
+            worst = [max(ps, key=known.__getitem__, default=None) for ps in split]
+            best = [known[p] if p is not None else -1.0 for p in worst]
+            yield pd.DataFrame({"score": best, "passage": pd.Series([p if b > -1.0 else None for p, b in zip(worst, best)], dtype=object)})
 
     cols = [F.col(c) for c in (key, *keep)]
-    return docs.select(*cols, score(F.col(text)).alias("s")).select(*cols, F.round("s.score", 6).alias("score"), "s.passage")
-
-
-def cache_canonical():
-    from functools import lru_cache
-
-    return lru_cache(100_000)(lambda p: [c for c in windows(canonical(p)) if len(c) >= SHORTEST])
+    return docs.select(*cols, score(F.col(text)).alias("s")).select(*cols, F.greatest(F.round("s.score", 6), F.lit(-1.0)).alias("score"), "s.passage")

@@ -159,8 +159,9 @@ def machine():
 
 
 @pytest.mark.parametrize("text, bad", [
-    ("you are a w0rthl3ss p.i.e.c.e of g**bage", True), ("Diese Ausländer sind Ungeziefer und gehören alle raus.", True), ("Free xxx clips of naked adults, sex all night", True), ("go back to your own countryyyy, your kind has no place here", True),
-    ("This release is terrible and I am really disappointed.", False), ("Kill the stuck worker first, then abort the run.", False), ("The clinic asked for answers on sexual health and contraception.", False), (None, False), ("  ", False),
+    ("y0u are such a stup1d b*stard", True), ("You idiot.", True), ("You moron!", True), ("fuck you", True), ("Ta gueule.", True), ("I will stab you tonight", True), ("she moaned as he undressed her slowly", True),
+    ("Alle Ausländer sind Ungeziefer und müssen raus.", True), ("Free porn clips of horny couples, all night", True), ("go back to your countryyyy, we don't want your race here", True),
+    ("This build is awful and I am sad about it.", False), ("Kill the frozen job first, then start it again.", False), ("The clinic answers questions on sexual health.", False), ("You are great!", False), ("ok", False), ("Thanks!", False), (None, False), ("  ", False), ("Спасибо", False),
 ])
 def test_abuse(spark, machine, text, bad):
     df = spark.createDataFrame([(1, text)], "doc_id long, text string").withColumn("score", F.lit("clash"))
@@ -179,7 +180,7 @@ def test_kernel_equals_brute_force(machine):
     import numpy as np
 
     def phi(s):
-        s = s + " " * abuse.SPAN
+        s = " " + s + " " * abuse.SPAN
         out = {}
         for i in range(len(s) - abuse.SPAN):
             for a, b, c in abuse._OFFSETS:
@@ -192,11 +193,43 @@ def test_kernel_equals_brute_force(machine):
     for s in ("shut your mouth you rat", "a fine day # long"):
         f = phi(s)
         dot = sum(v * vector[((code(k[0]) * 28 + code(k[1])) * 28 + code(k[2])) * 28 + code(k[3])] for k, v in f.items())
-        norm = max(sum(v * v for v in f.values()), abuse.LEAST * float((abuse._WEIGHTS**2).sum())) ** 0.5
+        norm = (max(len(s) + 1, abuse.LEAST) * float((abuse._WEIGHTS**2).sum())) ** 0.5
         assert abuse.score_strings([s], vector, bias)[0] == pytest.approx(dot / norm + bias, abs=1e-3)
         assert np.isfinite(dot)
 
 
+def test_kernel_rows_are_products_of_rows():
+    import numpy as np
+
+    strings = ["you rat", "a fine day # long", "kys", ""]
+
+    def dense(s):
+        _, f, w = abuse.sparse_rows([s])
+        return np.bincount(f, w, abuse.SYMBOLS**4)
+
+    rows = [dense(s) for s in strings]
+    assert np.allclose(abuse.kernel_rows(strings, strings[:2]), [[a @ b for b in rows[:2]] for a in rows], atol=1e-5)
+
+
+def test_windows_in_one_running_sum(machine):
+    vector, bias = machine
+    text = "the page shows a list of rows and then some more rows of the table that we know well "
+    s = abuse.canonical(text + "shut up you stupid idiot " + text)
+    whole = abuse.score_strings([s], vector, bias)[0]
+    each = abuse.score_strings(abuse.windows(s), vector, bias)
+    assert whole > abuse.THRESHOLD and abs(whole - each.max()) < 0.5
+
+
+def test_bad_passages_of_labelled_documents_are_learned(spark):
+    docs = spark.createDataFrame([(k, f"The page is fine today.\nyou zorbly flump number {k}, you idiot flump") for k in range(30)] + [(100 + k, "The page is fine today.\nNothing else here.") for k in range(30)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, 1, "x") for k in range(30)] + [(100 + k, 0, "x") for k in range(30)] + [(None, 1, "x"), (5, None, "y"), (900, 1, "x")], "doc_id long, toxic int, annotator string")
+    fitted = abuse.model(docs, labels)
+    s = lambda m, t: abuse.score_strings([abuse.canonical(t)], *m)[0]
+    assert s(fitted, "you zorbly flump") > s(abuse.model(), "you zorbly flump") and s(fitted, "The page is fine today.") < abuse.THRESHOLD
+    assert abuse.model(docs, labels) is fitted
+    assert abuse.model(docs.where("doc_id < 0"), labels.where("doc_id < 0"))[0].shape == fitted[0].shape
+
+
 def test_scores_do_not_depend_on_the_batch(machine):
     strings = [abuse.canonical(t) for t in abuse.ABUSIVE[:40] + abuse.HARMLESS[:40]]
     together = abuse.score_strings(strings, *machine)
