@@ -4,26 +4,34 @@
 * copy: greedy string tiling of answer and last user turn; the tiles cover nearly all of the answer and most of the turn.
 * refusal: every sentence is one that declines or a courtesy, and at least one declines (grammars in four languages).
 * language: the languages of turn and answer, by script and by marker words, differ, and the turn asks for no other language.
-* truncated: a pushdown parser of fences, brackets, quotations, markup and lists ends with something open; or the last sentence
-  has no end and stops where sentences of this corpus never end but go on. For this all answers are counted: word pairs
-  at the end of sentences, word pairs within sentences, and beginnings of the second words. Counts are reduced within each Arrow
-  batch, then by partial aggregation; only the pairs of unfinished answers are looked up, by joins."""
+* truncated: a pushdown parser ends with something open on its stack. Blocks: fences, brackets, quotations, markup, list items.
+  Phrases of the last sentence: a determiner, preposition, conjunction, auxiliary or clitic that waits for its head; a leading
+  subordinate clause that waits for its comma; a German modal or passive that waits for its verb at the end. Words: the
+  last word is none of the corpus' words but the beginning of one. Word pairs of all answers are counted as the parser's lexicon: they
+  say which words there are, which content words wait for more (``nobody else is told`` always goes on in this corpus), and an open
+  phrase is dropped where its words do end sentences. Counts are reduced within each Arrow batch, then by partial aggregation;
+  only the pairs of unfinished answers are looked up, by joins."""
 
 from __future__ import annotations
 
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .lexicon import ASKS_LANGUAGE, COURTESY, DECLINES, FILLER, LANGUAGE_OF
+from .lexicon import ASKS_LANGUAGE, COURTESY, DECLINES, DETERMINERS, FILLER, LANGUAGE_OF, LEADING, MARKERS, MODALS, PARTICLES, PASSIVES, WAITING
 from .textnorm import fold, visible
 
 COPY_SHARE, COPY_OF_TURN, COPY_WORDS, TILE = 0.75, 0.5, 4, 2
+#: A word pair waits for more if it was seen this often and hardly ever (share of the second number) at an end.
+SEEN, ENDS = 5, 0.02
+#: Letters of the longest word.
+LONGEST = 64
 
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*|\d[\d.,:]*|[^\s\w]")
 _ONLY_WORD = re.compile(r"[^\W_]+")
@@ -84,55 +92,85 @@ def tiled(answer: list[str], turn: list[str], least: int = TILE) -> int:
                 covered += best
 
 
+@lru_cache(20_000)
+def folded_words(text: str) -> tuple[tuple[str, ...], frozenset[str]]:
+    words = tuple(_ONLY_WORD.findall(fold(text)))
+    return words, frozenset(words)
+
+
 def is_copy(answer: str, turn: str) -> bool:
-    a, b = _ONLY_WORD.findall(fold(answer)), _ONLY_WORD.findall(fold(turn))
-    if len(a) < COPY_WORDS or not b or COPY_SHARE * len(a) > 2 * len(b):
+    a, (b, known) = _ONLY_WORD.findall(fold(answer)), folded_words(turn)
+    own, need = len(b), COPY_SHARE * len(a)
+    # tiles cannot cover more words than the turn knows
+    if len(a) < COPY_WORDS or not b or need > 2 * own or sum(map(known.__contains__, a)) < max(need, COPY_OF_TURN * own):
         return False
-    if COPY_SHARE * len(a) > len(b):  # the turn may stand there more than once
-        b = b + b
-    n = tiled(a, b)
-    return n >= COPY_SHARE * len(a) and n >= COPY_OF_TURN * len(_ONLY_WORD.findall(fold(turn)))
+    n = tiled(a, list(b + b if need > own else b))  # the turn may stand there more than once
+    return n >= need and n >= COPY_OF_TURN * own
+
+
+#: A sentence without any of these cannot decline: pieces of all alternatives of the grammar (fixed values).
+_TRIGGERS = ("no", "n't", "unable", "nicht", "cannot", "declin", "refus", "pass", "forbid", "prevent", "prohibit", "against", "violates", "denied", "kein", "ablehn", "lehne", "verst", "aucun", "interdit", "pas ", "ne ", "contre", "préf", "dois", "niego", "rechaz", "negar", "prefiero", "contra")
+
+
+@lru_cache(50_000)
+def stance(sentence: str) -> str:
+    """``declines``, ``courtesy``, ``nothing`` (no word in it) or ``other``."""
+    s = sentence.strip(" -*>\"'“”")
+    if not _ONLY_WORD.search(s):
+        return "nothing"
+    low = s.lower()
+    return "declines" if any(t in low for t in _TRIGGERS) and DECLINES.search(s) else "courtesy" if COURTESY.match(s) else "other"
 
 
 def is_refusal(answer: str) -> bool:
-    text = re.sub(r"\s+", " ", visible(answer).replace("’", "'")).strip()
-    text = re.sub(r"\bw/", "with", re.sub(r"\bcant\b", "can't", text))
+    """Every sentence declines or is a courtesy, and one at least declines."""
     declines = False
-    for s in re.split(r"(?<=[.!?])\s+", text):
-        s = s.strip(" -*>\"'“”")
-        if not _ONLY_WORD.search(s):
-            continue
-        if DECLINES.search(s):
-            declines = True
-        elif not COURTESY.match(s):
+    for m in _ONE.finditer(visible(answer)):
+        text = " ".join(m[0].replace("’", "'").split())
+        if "w/" in text or "cant" in text:
+            text = re.sub(r"\bw/", "with", re.sub(r"\bcant\b", "can't", text))
+        kind = stance(text)
+        if kind == "other":
             return False
+        declines |= kind == "declines"
     return declines
 
 
+_ONE = re.compile(r"\S.*?(?:[.!?](?=\s)|$)", re.S)
+_FOREIGN = re.compile(r"[^\x00-\u036f]")
+_SIGNS = {c: lang for lang, signs in (("es", "ñ¿¡"), ("de", "äöüß"), ("fr", "çœêèùà")) for c in signs}
+
+
 def language(text: str, least: int = 2) -> str | None:
     """Language by marker words (``least`` more than of any other), or the script where that is not Latin."""
-    score: Counter[str] = Counter()
-    ws = [w.lower() for w in _ONLY_WORD.findall(text)]
-    other = sum(any(ord(c) > 0x36F for c in w) for w in ws)
-    if ws and other > 0.5 * len(ws):
-        c = ord(next(c for w in ws for c in w if ord(c) > 0x36F))
-        return "greek" if c < 0x400 else "cyrillic" if c < 0x530 else "hebrew" if c < 0x600 else "arabic" if c < 0x780 else "cjk" if 0x2E80 <= c < 0xA000 else "script"
-    for w in ws:
-        own = LANGUAGE_OF.get(w)
-        if own:
-            for lang in own:
-                score[lang] += 1 / len(own)
-    for lang, signs in (("es", "ñ¿¡"), ("de", "äöüß"), ("fr", "çœêèùà")):
-        score[lang] += 0.5 * min(2, sum(text.count(c) for c in signs))
-    top = score.most_common(2)
-    if not top or top[0][1] < least or (len(top) > 1 and top[0][1] < 1.5 * top[1][1] + 0.5):
-        return None
-    return top[0][0]
+    ws = _ONLY_WORD.findall(text.lower())
+    ascii_only = text.isascii()
+    if not ascii_only and _FOREIGN.search(text):
+        foreign = [w for w in ws if _FOREIGN.search(w)]
+        if len(foreign) > 0.5 * len(ws):
+            c = ord(_FOREIGN.search(foreign[0])[0])
+            return "greek" if c < 0x400 else "cyrillic" if c < 0x530 else "hebrew" if c < 0x600 else "arabic" if c < 0x780 else "cjk" if 0x2E80 <= c < 0xA000 else "script"
+    score = dict.fromkeys(MARKERS, 0.0)
+    for own in filter(None, map(LANGUAGE_OF.get, ws)):
+        for lang in own:
+            score[lang] += 1 / len(own)
+    if not ascii_only:
+        signs = Counter(_SIGNS[c] for c in text if c in _SIGNS)
+        for lang, n in signs.items():
+            score[lang] += 0.5 * min(2, n)
+    (lang, top), (_, second) = sorted(score.items(), key=lambda x: -x[1])[:2]
+    return None if top < least or (second > 0 and top < 1.5 * second + 0.5) else lang
+
+
+turn_language = lru_cache(20_000)(language)
 
 
 def is_other_language(answer: str, turn: str) -> bool:
-    a, b = language(answer), language(turn)
-    return a is not None and b is not None and a != b and not ASKS_LANGUAGE.search(turn)
+    b = turn_language(turn)
+    if b is None:
+        return False
+    a = language(answer)
+    return a is not None and a != b and not ASKS_LANGUAGE.search(turn)
 
 
 _PAIRS = {")": "(", "]": "[", "}": "{", "»": "«", "”": "“"}
@@ -141,8 +179,8 @@ _TAG = re.compile(r"<(/?)([a-zA-Z]+)[^<>]*?(/?)>")
 
 
 def open_end(answer: str) -> bool:
-    """Pushdown parser: is a fence, a bracket, a quotation, an element, a tag or a list item open at the end?"""
-    text = visible(answer).rstrip()
+    """Block level of the pushdown parser: is a fence, a bracket, a quotation, an element, a tag or a list item open at the end?"""
+    text = without_dots(answer)
     fences = [m.start() for m in re.finditer(r"(?m)^\s*```|```\s*$|```", text)]
     if len(fences) % 2:
         return True
@@ -186,15 +224,17 @@ def open_end(answer: str) -> bool:
     return any("\n" not in tail[k:] or "{" in tail[k : k + 1] or "[" in tail[k : k + 1] for k in last)
 
 
-def tokens(sentence: str) -> list[str]:
-    """Words in lower case, numbers as #, capitalised words that do not begin the sentence as <C>; marks other than , ' - left out."""
+def kinds_of(words: list[str]) -> list[str]:
+    """Words in lower case, numbers as #, capitalised words that do not begin the sentence as <C>, strings too long for words as <L>; marks
+    other than , > left out."""
     out: list[str] = []
-    for w in _WORD.findall(sentence):
-        if w[0].isdigit():
+    for w in words:
+        c = w[0]
+        if c.isalpha():
+            out.append("<L>" if len(w) > LONGEST else "<C>" if out and c.isupper() else w.lower())
+        elif c.isdigit():
             out.append("#")
-        elif w[0].isalpha():
-            out.append("<C>" if out and w[0].isupper() else w.lower())
-        elif w in ",>":
+        elif c in ",>":
             out.append(w)
     return out
 
@@ -204,59 +244,110 @@ _NO_WORD = re.compile(r"[@\\]|https?:|\d\D*[^\W\d]|[^\W\d]\D*\d")
 _ITEM = re.compile(r"\s*(?:\d+[.)]|[-*•+])\s+\S|.*\S > \S")
 
 
-def unfinished(answer: str) -> tuple[str, str, bool] | None:
+_DOTS = re.compile(r"(?:\.{2,}|…)[\"'»”’)\]]*$")
+
+
+def without_dots(answer: str) -> str:
+    """The visible text without trailing dots that say that it breaks off."""
+    return _DOTS.sub("", visible(answer).rstrip()).rstrip()
+
+
+_PARTS = re.compile(r"[^\W\d_]+['’]|[^\W\d_]+|\d[\d.,:]*|[^\s\w]")
+
+
+def waits_for(sentence: str) -> str | None:
+    """Phrase level of the pushdown parser: what is on top of the stack at the end of the sentence, if anything.
+
+    ``det``, ``head``: a determiner or another word that needs one after it; ``clause``: a leading subordinate clause without its comma; ``verb``: a German
+    clause whose modal or passive has not found its verb."""
+    words = _PARTS.findall(sentence)
+    parts = [w.lower() for w in words]
+    stack: list[str] = []
+    for k, w in enumerate(parts):
+        if w in ",;:–":
+            while stack and stack[-1] != "verb":
+                stack.pop()
+            continue
+        while stack and stack[-1] in ("det", "head"):
+            stack.pop()
+        if stack and stack[-1] == "verb" and words[k][0].islower() and len(w) > 3 and w.endswith(("en", "ern", "eln", "t")) and w not in WAITING:
+            stack.pop()
+        if w in LEADING and not any(x.isalpha() for x in parts[:k] if x not in ("and", "und", "et", "y", "but", "aber", "mais", "pero")):
+            stack.append("clause")
+        if w in MODALS or w in PASSIVES:
+            stack.append("verb")
+        elif w in DETERMINERS or w[-1] in "'’":
+            stack.append("det")
+        elif w in WAITING and not (w in PARTICLES and k and parts[k - 1] in ("it", "them", "log", "sign", "turn", "switch", "move", "go")):
+            stack.append("head")
+    return stack[-1] if stack else None
+
+
+def unfinished(answer: str) -> tuple[str, str, bool, str | None] | None:
     """The last word pair of an answer whose last sentence has no end mark; ``<s>`` stands for the beginning.
 
-    The flag: it is a list item or a menu path, which need no end mark."""
-    text = visible(answer).rstrip()
+    Then a flag, whether it is a list item or a menu path, which need no end mark; and what the parser still waits for."""
+    text = without_dots(answer)
     if not text or _END.search(text):
         return None
     last = _SENTENCE.split(text)[-1]
-    ts = tokens(last)
+    words = _WORD.findall(last)
+    ts = kinds_of(words)
     if not ts or any(_NO_WORD.search(w) for w in last.split()[-2:]):
         return None
-    return (ts[-2] if len(ts) > 1 else "<s>"), ts[-1], bool(_ITEM.match(text.split("\n")[-1]))
+    first, second = (ts[-2] if len(ts) > 1 else "<s>"), ts[-1]
+    word = words[-1]
+    if word[0].isupper() and (second == "<C>" or first == "<s>"):  # of such a word only the word itself can be looked up
+        first, second = "<w>", word.lower()
+    return first, second, bool(_ITEM.match(text.split("\n")[-1])), waits_for(last)
 
 
 def pair_counts(answers: list[str | None]) -> Counter[tuple[str, str, bool]]:
-    """Word pairs (first, second, at an end?) of all complete sentences and of the inner part of incomplete ones."""
-    out: Counter[tuple[str, str, bool]] = Counter()
+    """Word pairs (first, second, at an end?) of all complete sentences and of the inner part of incomplete ones; with first ``<w>``
+    their capitalised words."""
+    sentences: Counter[tuple[str, bool]] = Counter()
     for a in answers:
-        if not a:
+        if a:
+            parts = _SENTENCE.split(visible(a))
+            sentences.update((s, True) for s in parts[:-1])
+            sentences[parts[-1], bool(_END.search(parts[-1].rstrip()))] += 1
+    out: Counter[tuple[str, str, bool]] = Counter()
+    for (s, whole), n in sentences.items():
+        words = _WORD.findall(s)
+        ts = ["<s>", *kinds_of(words)]
+        if len(ts) == 1:
             continue
-        parts = _SENTENCE.split(visible(a))
-        for k, s in enumerate(parts):
-            ts = ["<s>", *tokens(s)]
-            if len(ts) == 1:
-                continue
-            whole = k + 1 < len(parts) or bool(_END.search(s.rstrip()))
-            # the very last pair of an unfinished text says nothing: its second word may be cut
-            for i in range(1, len(ts) - (0 if whole else 1)):
-                out[ts[i - 1], ts[i], whole and i == len(ts) - 1] += 1
+        whole = whole and not _DOTS.search(s.rstrip())
+        # the very last pair of an unfinished text says nothing: its second word may be cut
+        for i in range(1, len(ts) - (0 if whole else 1)):
+            out[ts[i - 1], ts[i], whole and i == len(ts) - 1] += n
+        for w in words if whole else words[:-1]:
+            if w[0].isupper() and len(w) <= LONGEST:
+                out["<w>", w.lower(), False] += n
     return out
 
 
 # ---- the operator --------------------------------------------------------------------------------------------------
 def simple_defect(turn: Column, answer: Column) -> Column:
-    @F.pandas_udf("defect string, first string, second string, item boolean")
+    @F.pandas_udf("defect string, first string, second string, item boolean, waits string")
     def classify(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for turns, answers in batches:
             rows: list[tuple] = []
             for q, a in zip(turns.tolist(), answers.tolist()):
-                q = q or ""
+                q, a = q or "", None if a is None else visible(a)
                 if is_empty(a):
-                    rows.append(("empty", None, None, None))
+                    rows.append(("empty", None, None, None, None))
                 elif is_copy(a, q):
-                    rows.append(("copy", None, None, None))
+                    rows.append(("copy", None, None, None, None))
                 elif is_refusal(a):
-                    rows.append(("refusal", None, None, None))
+                    rows.append(("refusal", None, None, None, None))
                 elif is_other_language(a, q):
-                    rows.append(("language", None, None, None))
+                    rows.append(("language", None, None, None, None))
                 elif open_end(a):
-                    rows.append(("truncated", None, None, None))
+                    rows.append(("truncated", None, None, None, None))
                 else:
-                    rows.append((None, *(unfinished(a) or (None, None, None))))
-            yield pd.DataFrame(rows, columns=["defect", "first", "second", "item"])
+                    rows.append((None, *(unfinished(a) or (None,) * 4)))
+            yield pd.DataFrame(rows, columns=["defect", "first", "second", "item", "waits"])
 
     return classify(turn, answer)
 
@@ -272,7 +363,7 @@ def find_defects(answers: DataFrame) -> DataFrame:
 
     A null or empty turn allows no copy or language defect. Repeated rows give one row; of rows with one key but several contents,
     each is judged. Rows with a null row_id are left out. Empty tables: empty result."""
-    rows = answers.select("table_name", "row_id", "field", "turn", "answer").where(F.col("row_id").isNotNull()).distinct()
+    rows = answers.where(F.col("row_id").isNotNull())  # repeated rows are judged again and merged at the end, which spares a shuffle of all texts
     judged = cut_lineage(rows.select("table_name", "row_id", "field", simple_defect(F.col("turn"), F.col("answer")).alias("d")).select("table_name", "row_id", "field", "d.*"))
     counts = answers.select("answer").where(F.length("answer") > 0).mapInPandas(_count, "first string, second string, end boolean, n long")
     pairs = cut_lineage(counts.groupBy("first", "second").agg(F.sum(F.when(F.col("end"), F.col("n")).otherwise(0)).alias("ends"), F.sum(F.when(F.col("end"), 0).otherwise(F.col("n"))).alias("goes_on")))
@@ -285,9 +376,11 @@ def find_defects(answers: DataFrame) -> DataFrame:
     wanted = wanted.join(pairs, ["first", "second"], "left").join(begun, ["first", "second"], "left")
     none = lambda c: F.coalesce(c, F.lit(0))
     ends, on, begin = none("ends"), none("goes_on"), none("begins")
-    # a list item or a menu path may end with anything but a word that is only the beginning of one
-    cut = wanted.where((ends <= 0.02 * (on + begin)) & (on + begin > 0)).select("first", "second", (ends + on > 0).alias("word"))
-    truncated = loose.join(cut, ["first", "second"]).where(~(F.col("item") & F.col("word"))).select("table_name", "row_id", "field", F.lit("truncated").alias("defect"))
+    wanted = wanted.select("first", "second", ((ends + on == 0) & (begin > 0)).alias("no_word"), (ends > on).alias("usual"), ((on + begin >= SEEN) & (ends <= ENDS * (on + begin))).alias("goes_on"))
+    # a list item or a menu path may end with anything but a determiner or a word that is only the beginning of one
+    phrase = F.col("waits").isNotNull() & ~F.col("usual") & (~F.col("item") | (F.col("waits") == "det"))
+    lexical = F.col("goes_on") & ~F.col("item") & (F.col("first") != "<w>")
+    truncated = loose.join(wanted, ["first", "second"]).where(F.col("no_word") | phrase | lexical).select("table_name", "row_id", "field", F.lit("truncated").alias("defect"))
     return judged.where(F.col("defect").isNotNull()).select("table_name", "row_id", "field", "defect").unionByName(truncated).distinct()
 
 

@@ -31,12 +31,16 @@ _R = [
     rf"\b{_I} ?{_NO} (?:\w+ )?{_DO}\b", r"\bi (?:have|need|must|will have) (?:to )?(?:decline|refuse|pass)\b", r"\bi (?:refuse|decline)\b", r"\bi must pass\b",
     r"\bmy (?:guidelines|rules|policy|policies|instructions) (?:do not|don'?t|forbid|prevent|prohibit|won'?t)\b", r"\bgoes? against (?:my|our) (?:rules|guidelines|policy|policies)\b", r"\bviolates (?:my|our)\b",
     r"^(?:not going to|won'?t|cannot|can'?t) (?:answer|help|do|discuss)\b", r"^no can do\b", r"^request (?:declined|denied|refused)\b", r"\bfor (?:legal|policy|privacy|safety|security) reasons\b.*\b(?:cannot|can'?t|do not|don'?t|won'?t|must)\b",
+    rf"\b(?:is not|isn't|are not|aren't|was not|not) (?:\w+ )?(?:appropriate|suitable|proper|acceptable|something|anything|a (?:question|topic|matter|subject))\b.*\b(?:i|we|me|us)\b", r"\bno (?:answer|reply|response|help|comment) (?:can|could|may|will|shall) be (?:given|offered|provided|made)\b", r"\bno (?:answer|reply|help) is possible\b", r"\b(?:would|does|will|may) go against (?:my|our)\b",
     # German
+    r"\b(?:keine|keinerlei) (?:antwort|auskunft|hilfe) (?:geben|möglich|gegeben|erteilt)\b|\bkann (?:hier )?keine (?:antwort|auskunft) (?:gegeben|erteilt) werden\b|\b(?:ist|sind) (?:nichts|nicht(?:s)? (?:angebracht|angemessen|passend))\b.*\b(?:ich|mich|mir|wir|uns)\b",
     r"\b(?:kann|darf|möchte|werde|will) (?:ich|wir)\b.*\b(?:nicht|keine?)\b.*\b(?:helfen|beantworten|eingehen|äußern|sprechen|antworten|geben|unterstützen|weiterhelfen|beteiligen|sagen)\b", r"\b(?:ich|wir) (?:kann|können|darf|dürfen|möchte|möchten|werde|werden|will)\b.*\b(?:nicht|keine?)\b.*\b(?:helfen|beantworten|eingehen|äußern|sprechen|antworten|geben|unterstützen|weiterhelfen|beteiligen|sagen)\b",
     r"\bmuss (?:ich )?(?:das|dies|es)? ?(?:leider )?ablehnen\b|\bmuss das ablehnen\b|\blehne (?:ich )?(?:das|dies)? ?ab\b", r"\bnicht erlaubt\b", r"\bverstößt gegen (?:meine|unsere)\b", r"\bals (?:\w+ )?(?:assistent|sprachmodell|hilfe|ki)\b.*\b(?:nicht|keine?)\b", r"^anfrage abgelehnt\b",
     # French
+    r"\baucune (?:réponse|aide) ne (?:peut|sera)\b|\bn'est pas (?:approprié|convenable|quelque chose)\b.*\b(?:je|moi|nous)\b|\bn'est pas (?:quelque chose|une question) (?:que|à laquelle|dont) (?:je|nous)\b",
     r"\bje ne (?:peux|puis|suis|donne|réponds|souhaite|veux|commente)\b.*\b(?:pas|aucun)\b.*", r"\bje (?:dois|préfère) (?:refuser|décliner|ne pas|passer)\b", r"\bje refuse\b", r"\b(?:interdit|pas autorisé|pas le droit) (?:d'|de |à )", r"\bva contre (?:mes|nos)\b|\bva à l'encontre\b", r"\bje n'ai pas le droit\b", r"^demande refusée\b",
     # Spanish
+    r"\bno (?:se )?(?:puede|es posible) dar(?:se)? (?:una|ninguna|aquí ninguna) (?:respuesta|ayuda)\b|\bno es (?:apropiado|adecuado|conveniente)\b.*\b(?:yo|mí|me|nosotros)\b|\bno es (?:algo|una pregunta) (?:que|a la que)\b.*\b(?:pueda|puedo|podamos)\b",
     r"\bno (?:puedo|podemos|estoy autorizad[oa]|me está permitido|doy|respondo|quiero|debo|comento)\b", r"\bprefiero no\b", r"\b(?:tengo que|debo) (?:rechazar|negarme)\b", r"\bme niego\b", r"\bva contra (?:mis|nuestras)\b", r"^(?:petición|solicitud) rechazada\b", r"\bno me es posible (?:ayudar|responder)",
 ]
 #: A sentence that declines.
@@ -47,3 +51,23 @@ COURTESY = re.compile(
     r"leider|entschuldigung|tut mir leid|danke|vielen dank|bitte|kann ich sonst|ich verstehe|hallo|guten tag|deine (?:frage|anfrage)|ihre (?:frage|anfrage)|die (?:frage|anfrage)|wir haben|trotzdem|als |"
     r"désolé|je regrette|malheureusement|merci|puis-je|je comprends|bonjour|salut|ta (?:question|demande)|votre|excuse|pardon|en tant que|"
     r"lo siento|lamento|lamentablemente|por desgracia|gracias|perdona|disculpa|entiendo|espero|puedo ayudar|¿puedo|hola|tu (?:pregunta|petición)|hemos recibido|como )", re.I)
+
+#: Determiners: a noun must follow (fixed values).
+DETERMINERS = frozenset(
+    "a an the my your our their every der das den dem des ein eine einen einem einer eines kein keine keinen mein meine dein deine seine ihren unser unsere euer eure diesen dieses "
+    "le la les un une des du au aux mon ma mes ton ta tes sa ses notre nos votre vos leur leurs ce cet cette ces chaque el los las una unos unas del al mi mis tu tus su sus nuestro nuestra vuestro vuestra cada".split()
+)
+#: Other words after which a phrase is not complete: prepositions, conjunctions, auxiliaries, clitics (fixed values).
+WAITING = DETERMINERS | frozenset(
+    "his her its this these those each no some any another other of to in on at by for from with without within into onto about after before under over per than as until during between through against among toward and or but nor if because although though while when where whether that which who whose unless since so is are was were be been being am has have had does do did can could will would shall should may might must not isn't aren't don't doesn't can't cannot very too more most less rather only also else even just "
+    "die sein ihr ihre dieser jede jeder jedes jedem von zu zum zur im in ins am an auf aus bei beim mit nach seit über unter vor für durch gegen ohne um zwischen innerhalb bis und oder aber denn sondern wenn falls weil dass ob als wie sobald obwohl ist sind war waren hat haben sehr nur auch noch etwa nicht mehr "
+    "de son à dans en sur sous par pour avec sans chez vers depuis pendant après avant contre entre et ou mais donc car si que qui quand lorsque comme dont est sont était sera a ont avait peut doit ne se y plus très trop environ aussi "
+    "lo esta este estos estas con por sin sobre desde hasta hacia para ante bajo tras durante según o pero sino porque cuando donde cual quien es están está era fue ha han puede debe no muy más menos también".split()
+)
+#: English words that end a phrase where they belong to a verb (fixed values).
+PARTICLES = frozenset("in on off up out over".split())
+#: Words that open a subordinate clause; at the beginning of a sentence the main clause must follow behind a comma (fixed values).
+LEADING = frozenset("if when while because although though unless since once until wenn falls weil obwohl sobald solange während nachdem si quand lorsque puisque cuando aunque mientras porque".split())
+#: German verbs that wait for an infinitive or a participle at the end of their clause (fixed values).
+MODALS = frozenset("kannst können könnt kann müssen musst müsst darfst dürfen dürft sollst sollen sollt möchten möchte".split())
+PASSIVES = frozenset("wird werden wurde wurden".split())

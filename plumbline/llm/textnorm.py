@@ -14,13 +14,18 @@ LOOKALIKE = str.maketrans({
 _INVISIBLE = re.compile("[­͏؜ᅟᅠ឴឵᠋-᠏​-‏‪-‮⁠-⁯︀-️﻿\U000e0000-\U000e0fff]|(?![\t\n\r])[\x00-\x1f\x7f-\x9f]")
 
 
+_CONTROL = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]")
+
+
 def visible(text: str) -> str:
     """Without invisible and control characters."""
-    return text if text.isascii() and text.isprintable() else _INVISIBLE.sub("", text)
+    if text.isascii():
+        return _CONTROL.sub("", text) if _CONTROL.search(text) else text
+    return _INVISIBLE.sub("", text)
 
 
 def fold(text: str) -> str:
     """Lower case compatibility form without invisible characters; look-alike letters become Latin ones."""
     if text.isascii():
-        return text.lower() if text.isprintable() else _INVISIBLE.sub("", text).lower()
+        return visible(text).lower()
     return unicodedata.normalize("NFKC", _INVISIBLE.sub("", text)).casefold().replace("ß", "ss").translate(LOOKALIKE)

@@ -127,6 +127,26 @@ def test_answers_that_break_off_beside_a_number(spark):
     assert {(r.row_id, r.defect) for r in defects.find_defects(df).collect()} == {("b1", "truncated"), ("b2", "truncated")}
 
 
+@pytest.mark.parametrize("answer, waits", [
+    ("You can undo this from the", "det"), ("The change takes effect after about", "head"), ("If the entry is missing", "clause"), ("If the entry is missing, open it", None), ("Nobody else is", "head"), ("Du kannst das innerhalb von drei Tagen", "verb"),
+    ("Du kannst das innerhalb von drei Tagen ändern", None), ("Jedes Mal wird eine kurze Notiz", "verb"), ("Les lignes sont dans l'", "det"), ("Cada vez se escribe una", "det"), ("Please turn it on", None), ("It is done", None), ("", None), ("...", None),
+])
+def test_open_phrases_on_the_stack(answer, waits):
+    assert defects.waits_for(answer) == waits
+
+
+def test_trailing_dots_and_half_words_in_items(spark):
+    full = [("t", f"a{k}", "f", "q", f"Open Settings {k}, choose Sharing and press Apply. Repeat it for Lumex if you use both sets.") for k in range(9)]
+    more = [("b1", "Open it. Repeat it for…"), ("b2", "Open it. Repeat it for Lumex if you use both sets..."), ("b3", "Do this:\n1. Settings\n2. Sha"), ("b4", "Do this:\n1. Settings\n2. Sharing"), ("b5", "Settings > the"), ("b6", "…"), ("b7", "x" * 50_000 + " and the")]
+    df = spark.createDataFrame(full + [("t", k, "f", "q", a) for k, a in more], "table_name string, row_id string, field string, turn string, answer string")
+    assert {(r.row_id, r.defect) for r in defects.find_defects(df).collect()} == {("b1", "truncated"), ("b3", "truncated"), ("b5", "truncated"), ("b6", "empty"), ("b7", "truncated")}
+
+
+@pytest.mark.parametrize("answer", ["That isn't something I can answer.", "No answer can be given here, sorry.", "Aucune réponse ne peut être donnée ici.", "Hier kann keine Antwort gegeben werden.", "No se puede dar una respuesta."])
+def test_impersonal_refusals(answer):
+    assert defects.is_refusal(answer)
+
+
 def test_long_refusals():
     no = "I'm sorry, but I can't help with that. "
     assert defects.is_refusal(no * 20) and len(no * 20) > 600
