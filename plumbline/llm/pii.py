@@ -2,8 +2,9 @@
 
 Training: log-likelihood of the labelled table (forward-backward over padded batches, AdaGrad, L2) in numpy. Decoding: Viterbi over
 all texts of an Arrow batch at once, sorted by length. Features are hashed: what can be said of a token alone is worked out
-once per distinct token; neighbours and conjunctions are combined by integer arithmetic over whole batches. The weights, of
-fixed size, are the only thing sent to the executors; texts are decoded where they lie, without a shuffle."""
+once per distinct chunk between blanks and kept as a numbered row; neighbours and conjunctions are combined by integer arithmetic,
+once per distinct neighbourhood of a batch. The weights, of fixed size, are the only thing sent to the executors; texts are
+decoded where they lie, without a shuffle."""
 
 from __future__ import annotations
 
@@ -17,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .pii_table import labelled
+from .pii_table import FIRST, labelled
 from .textnorm import fold
 
 KINDS = ("email", "phone", "id_number", "address", "name")
@@ -30,7 +31,7 @@ PAD = 3
 _TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]|_")
 _NUMBER = re.compile(r"[+(]?[\d][\d ()+./\-]*")
 _CHUNK = re.compile(r"\S+")
-_INNER = re.compile(r"\s*[­​-‏⁠﻿]+")
+_GIVEN = frozenset(fold(w) for w in FIRST)
 
 
 def _h(s: str) -> int:
@@ -47,12 +48,29 @@ def _shape(w: str) -> str:
     return "XX" if w.isupper() else "Xx" if w[0].isupper() and w[1:].islower() else "xx" if w.islower() else "mix"
 
 
+N_OWN = 10  # columns of a token's row: 6 of Tokens.of, gap before, number pattern, digits of the number, pattern of the chunk
+FULL = 300_000  # what a worker remembers of each kind before it starts anew
+
+
 class Tokens:
-    """Features of tokens alone, remembered per worker: word, shape, word's end, longer end, beginning."""
+    """What a worker remembers: features of tokens alone (word, shape, word's end, longer end, beginning, a known given name?), patterns,
+    and the numbered rows of all tokens seen; row 0 is the padding between texts."""
 
     def __init__(self) -> None:
         self.known: dict[str, tuple[int, ...]] = {}
         self.shapes: dict[str, int] = {}
+        self.chunks: dict[tuple[str, int], tuple[tuple[tuple[int, int], ...], tuple[int, ...]]] = {}
+        self.numbers: dict[tuple[int, ...], int] = {(7,) * N_OWN: 0}
+
+    def trim(self) -> None:
+        if max(len(self.known), len(self.shapes), len(self.chunks), len(self.numbers)) > FULL:
+            self.__init__()
+
+    def number(self, row: tuple[int, ...]) -> int:
+        return self.numbers.setdefault(row, len(self.numbers))
+
+    def table(self) -> np.ndarray:
+        return np.array(list(self.numbers), np.uint64)
 
     def of(self, w: str) -> tuple[int, ...]:
         got = self.known.get(w)
@@ -61,10 +79,7 @@ class Tokens:
             alpha = w[0].isalpha()
             word = low if alpha else (w if len(w) <= 2 else f"#{len(w)}") if w[0].isdigit() else low
             s = _shape(w)
-            got = (_h("w" + word), _h("s" + s), _h("e" + low[-3:]) if alpha else _h("s" + s), _h("f" + low[-4:]) if alpha else 1, _h("b" + low[:3]) if alpha else 2)
-            if len(self.known) > 300_000:
-                self.known.clear()
-            self.known[w] = got
+            got = self.known[w] = (_h("w" + word), _h("s" + s), _h("e" + low[-3:]) if alpha else _h("s" + s), _h("f" + low[-4:]) if alpha else 1, _h("b" + low[:3]) if alpha else 2, 20 + (low in _GIVEN))
         return got
 
     def pattern(self, s: str, prefix: str) -> int:
@@ -73,67 +88,89 @@ class Tokens:
         if got is None:
             p = re.sub(r"[^\W\d_]+", "a", s)
             p = re.sub(r"\d+", lambda m: str(min(len(m[0]), 9)), p)[:40]
-            got = _h(prefix + p)
-            if len(self.shapes) > 300_000:
-                self.shapes.clear()
-            self.shapes[s] = got
+            got = self.shapes[s] = _h(prefix + p)
         return got
 
-
-N_OWN = 9  # columns of a token: 5 of Tokens.of, gap before, number pattern, digits of the number, pattern of the chunk
+    def chunk(self, s: str, gap: int, at: int = 0, numbers: list[tuple[int, int, int, int]] = ()) -> tuple[tuple[tuple[int, int], ...], tuple[int, ...]]:
+        """Spans, from the chunk's beginning, and row numbers of its tokens; ``numbers``: those that reach into it."""
+        key = (s, gap)
+        if not numbers and (got := self.chunks.get(key)):
+            return got
+        whole = self.pattern(s, "c") if len(s) < 80 else 5
+        spans, rows = [], []
+        for m in _TOKEN.finditer(s):
+            inside = next((x for x in numbers if x[0] <= at + m.start() < x[1]), (0, 0, 3, 4))
+            spans.append(m.span())
+            rows.append(self.number((*self.of(m[0]), 10 + gap, inside[2], inside[3], whole)))
+            gap = 0
+        got = tuple(spans), tuple(rows)
+        if not numbers:
+            self.chunks[key] = got
+        return got
 
 
-def rows_of(text: str, memo: Tokens) -> tuple[list[tuple[int, int]], list[tuple[int, ...]]]:
-    """Spans of the tokens and their own feature hashes."""
+def rows_of(text: str, memo: Tokens) -> tuple[list[tuple[int, int]], list[int]]:
+    """Spans of the tokens and the numbers of their rows."""
     numbers = []
     for m in _NUMBER.finditer(text):
         s = m[0].rstrip(" (+./-")
         n = sum(c.isdigit() for c in s)
         if n >= 3:
             numbers.append((m.start(), m.start() + len(s), memo.pattern(s, "n"), 1000 + min(n, 20)))
-    chunks = [(m.start(), m.end(), m[0]) for m in _CHUNK.finditer(text)]
-    spans, rows, ni, ci, last = [], [], 0, 0, 0
-    for m in _TOKEN.finditer(text):
+    spans: list[tuple[int, int]] = []
+    rows: list[int] = []
+    first = last = 0
+    for m in _CHUNK.finditer(text):
         a, b = m.span()
-        while ni < len(numbers) and numbers[ni][1] <= a:
-            ni += 1
-        while ci < len(chunks) and chunks[ci][1] <= a:
-            ci += 1
-        inside = ni < len(numbers) and numbers[ni][0] <= a
+        while first < len(numbers) and numbers[first][1] <= a:
+            first += 1
         gap = 0 if a == last else 2 if "\n" in text[last:a] else 1
-        rows.append((*memo.of(m[0]), 10 + gap, numbers[ni][2] if inside else 3, numbers[ni][3] if inside else 4, memo.pattern(chunks[ci][2], "c") if chunks[ci][1] - chunks[ci][0] < 80 else 5))
-        spans.append((a, b))
+        reach = numbers[first : first + 8] if first < len(numbers) and numbers[first][0] < b else ()
+        if reach and len(reach) == 8 and reach[-1][0] < b:
+            reach = [x for x in numbers[first:] if x[0] < b]
+        own, ids = memo.chunk(m[0], gap, a, reach)
+        spans += [(a + x, a + y) for x, y in own]
+        rows += ids
         last = b
     return spans, rows
 
 
-_WORD, _SHAPE, _END, _END4, _BEGIN, _GAP, _NUM, _NDIG, _CHUNKED = range(N_OWN)
+_WORD, _SHAPE, _END, _END4, _BEGIN, _KNOWN, _GAP, _NUM, _NDIG, _CHUNKED = range(N_OWN)
 #: Each feature: pairs (column, offset); several pairs are a conjunction.
 TEMPLATES = (
     [((_WORD, o),) for o in (-3, -2, -1, 0, 1, 2, 3)] + [((_SHAPE, o),) for o in (-2, -1, 0, 1, 2)]
-    + [((_END, 0),), ((_END4, 0),), ((_BEGIN, 0),), ((_NUM, 0),), ((_NDIG, 0),), ((_CHUNKED, 0),), ((_CHUNKED, -1),), ((_CHUNKED, 1),)]
+    + [((_KNOWN, 0),), ((_KNOWN, -1), (_SHAPE, 0)), ((_KNOWN, 1), (_SHAPE, 0)), ((_KNOWN, 2), (_SHAPE, 0))] + [((_END, 0),), ((_END4, 0),), ((_BEGIN, 0),), ((_NUM, 0),), ((_NDIG, 0),), ((_CHUNKED, 0),), ((_CHUNKED, -1),), ((_CHUNKED, 1),)]
     + [((_SHAPE, 0), (_GAP, 0)), ((_SHAPE, -1), (_SHAPE, 0)), ((_SHAPE, 0), (_SHAPE, 1)), ((_SHAPE, -1), (_SHAPE, 0), (_SHAPE, 1)), ((_WORD, -1), (_SHAPE, 0)), ((_SHAPE, 0), (_WORD, 1))]
     + [((_WORD, -1), (_WORD, 0)), ((_WORD, -2), (_WORD, -1)), ((_WORD, 1), (_WORD, 2)), ((_WORD, -3), (_WORD, -2), (_WORD, -1)), ((_NUM, 0), (_WORD, -1)), ((_END, -1), (_END, 0)), ((_END, 0), (_END, 1)), ((_WORD, -2), (_SHAPE, -1), (_SHAPE, 0))]
 )
 
 
-def feature_ids(lists: list[list[tuple[int, ...]]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(tokens x templates) ids of all texts one after another, starts and lengths of the texts among these rows."""
+_MIX = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3]
+
+
+def feature_ids(lists: list[list[int]], table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct neighbourhoods x templates) ids, the neighbourhood of each token of all texts one after another, and starts and lengths
+    of the texts among these tokens."""
     lengths = np.array([len(x) for x in lists], np.int64)
-    total = int(lengths.sum()) + PAD * (len(lists) + 1)
-    own = np.full((total, N_OWN), 7, np.uint64)
+    flat = np.zeros(int(lengths.sum()) + PAD * (len(lists) + 1), np.int64)
     starts = np.cumsum(lengths + PAD) - lengths  # after the padding that precedes each text
-    inner = np.concatenate([np.arange(s, s + n) for s, n in zip(starts, lengths)]) if len(lists) else np.zeros(0, np.int64)
-    if len(inner):
-        own[inner] = np.array([r for x in lists for r in x], np.uint64)
-    out = np.empty((len(inner), len(TEMPLATES)), np.int32)
+    inner = np.repeat(starts - (np.cumsum(lengths) - lengths), lengths) + np.arange(int(lengths.sum()))
+    flat[inner] = np.fromiter((r for x in lists for r in x), np.int64, int(lengths.sum()))
+    around = np.zeros(len(inner), np.uint64)
+    for o, mix in zip(range(-PAD, PAD + 1), _MIX):
+        around += (flat[inner + o].astype(np.uint64) + np.uint64(1)) * np.uint64(mix)
+        around ^= around >> np.uint64(29)
+    _, where, which = np.unique(around, return_index=True, return_inverse=True)
+    at = inner[where]
+    own = [table[flat[at + o]] for o in range(-PAD, PAD + 1)]
+    out = np.empty((len(at), len(TEMPLATES)), np.int32)
     for t, parts in enumerate(TEMPLATES):
-        h = np.full(len(inner), (t + 1) * 0x9E3779B1, np.uint64)
+        h = np.full(len(at), (t + 1) * 0x9E3779B1, np.uint64)
         for col, off in parts:
-            h = (h ^ own[inner + off, col]) * np.uint64(0xFF51AFD7ED558CCD)
+            h = (h ^ own[off + PAD][:, col]) * np.uint64(0xFF51AFD7ED558CCD)
             h ^= h >> np.uint64(32)
         out[:, t] = (h & np.uint64(SIZE - 1)).astype(np.int32)
-    return out, np.cumsum(lengths) - lengths, lengths
+    return out, which.ravel(), np.cumsum(lengths) - lengths, lengths
 
 
 def _allowed() -> np.ndarray:
@@ -166,7 +203,8 @@ def train(examples: list[tuple[str, list[tuple[int, int, str]]]], epochs: int =
                     first = False
         lists.append(rows)
         gold.append(y)
-    ids, starts, lengths = feature_ids(lists)
+    ids, which, starts, lengths = feature_ids(lists, memo.table())
+    ids = ids[which]
     w, trans = np.zeros((SIZE, TAGS), np.float32), np.zeros((TAGS + 1, TAGS), np.float32)
     gw, gt = np.full((SIZE, TAGS), 1e-6, np.float32), np.full((TAGS + 1, TAGS), 1e-6, np.float32)
     rng = np.random.default_rng(seed)
@@ -233,7 +271,7 @@ def model() -> tuple[np.ndarray, np.ndarray]:
     return train(labelled())
 
 
-def viterbi(emit: np.ndarray, starts: np.ndarray, lengths: np.ndarray, trans: np.ndarray, group: int = 256) -> np.ndarray:
+def viterbi(emit: np.ndarray, starts: np.ndarray, lengths: np.ndarray, trans: np.ndarray, group: int = 512) -> np.ndarray:
     """Best tags of all texts; ``emit`` holds their tokens one after another. Texts of like length are decoded together."""
     out = np.zeros(len(emit), np.int8)
     move = trans + FORBID
@@ -281,12 +319,13 @@ def tag_texts(texts: list[str], w: np.ndarray, trans: np.ndarray, memo: Tokens)
     """Pieces (start, end, kind) of each text."""
     # invisible characters split words and numbers; they are blotted out, offsets stay those of the text
     plain = [t if t.isascii() else re.sub("[­​-‏⁠﻿]", "", t) for t in texts]
+    memo.trim()
     both = [rows_of(t, memo) for t in plain]
-    ids, starts, lengths = feature_ids([r for _, r in both])
-    emit = np.empty((len(ids), TAGS), np.float32)
+    ids, which, starts, lengths = feature_ids([r for _, r in both], memo.table())
+    scores = np.empty((len(ids), TAGS), np.float32)
     for k in range(0, len(ids), 4096):
-        emit[k : k + 4096] = w[ids[k : k + 4096]].sum(1)
-    tags = viterbi(emit, starts, lengths, trans)
+        scores[k : k + 4096] = w[ids[k : k + 4096]].sum(1)
+    tags = viterbi(scores[which], starts, lengths, trans)
     out = []
     for z, (spans, _) in enumerate(both):
         own = tags[starts[z] : starts[z] + lengths[z]].tolist()
@@ -329,8 +368,8 @@ def pieces_of(text: Column, w_and_trans) -> Column:
             texts = s.tolist()
             distinct = list({t for t in texts if t})
             found: dict[str, tuple[list[str], str]] = {}
-            for k in range(0, len(distinct), 512):
-                part = distinct[k : k + 512]
+            for k in range(0, len(distinct), 2048):
+                part = distinct[k : k + 2048]
                 for t, p in zip(part, tag_texts(part, w, trans, memo)):
                     found[t] = ([x[2] for x in p], redacted(t, p))
             yield pd.DataFrame({"kinds": pd.Series([found[t][0] if t else [] for t in texts], dtype=object), "redacted": pd.Series([found[t][1] if t else t for t in texts], dtype=object)})
