@@ -32,6 +32,19 @@ def test_fit_recovers_strengths_order_and_ties():
     assert np.allclose(p[:4] - p[:4].mean(), b - b.mean(), atol=0.1) and abs(p[4] - h) < 0.1 and abs(p[5] - t) < 0.1 and (se > 0).all()
 
 
+def test_400_fully_compared_models_fit_on_the_driver():
+    import tracemalloc
+
+    k = 400
+    i, j = (x.ravel() for x in np.divmod(np.arange(k * k), k))
+    i, j = i[i != j], j[i != j]
+    i, j = np.r_[i, i, i], np.r_[j, j, j]
+    tracemalloc.start()
+    p, _, _ = ranking.fit(i, j, np.repeat([1, 2, 3], len(i) // 3), 1.0 + (i < j), k, most=2)
+    assert np.isfinite(p).all() and tracemalloc.get_traced_memory()[1] < 600e6
+    tracemalloc.stop()
+
+
 def test_ranking_is_finite_for_winners_of_all_and_for_no_rows(spark):
     r = ranking.rank_models(votes(spark, [(str(k), "top", f"m{k % 3}", "a") for k in range(9)])).orderBy("rank").collect()
     assert r[0].model == "top" and r[0].strength < 20 and [x.rank for x in r] == [1, 2, 2, 2]
