@@ -14,6 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.sizes import small
 from ..session import cut_lineage
 
 
@@ -98,23 +99,28 @@ def flag_spikes(df: DataFrame, cfg: SpikeConfig = SpikeConfig(), **names: str) -
 
     dev = least([F.col("v") - F.col("mb"), F.col("v") - F.col("ma"), F.col("v") - F.col("mw")])
     level = F.abs(F.coalesce((F.col("mb") + F.col("ma")) / 2, F.col("mb"), F.col("ma"), F.col("v")))
-    local = local.withColumn("level", level).withColumn("dev", F.when(F.size("b") >= 1, F.when(F.size("a") >= 1, dev)))
+    local = local.withColumn("level", level).withColumn("dev", F.when((F.size("a") >= 2) | ((F.size("a") == 1) & (F.size("b") >= 1)), dev))
 
     q = lambda x: F.percentile_approx(x, [0.25, 0.5, 0.75], c.accuracy)
     res = F.col("v") - F.coalesce((F.col("mb") + F.col("ma")) / 2, F.col("mb"), F.col("ma"))
     residual = F.when(~F.col("bad"), res / F.greatest(F.col("level"), F.lit(1e-12)))
     weekday = F.pmod(F.col("n"), F.lit(7))
     local = cut_lineage(local.withColumn("residual", residual).withColumn("weekday", weekday).drop("b", "a", "w", "mb", "ma", "mw"))  # read three times below
-    # two grains of sketches from one shuffle: per (series, weekday), then merged per series from counts and quartiles
+    # two grains of sketches, per series and per series and weekday; both are merged from partial ones of each partition. Long stretches of
+    # one value are what is sought, so they do not count against a series as one that repeats itself anyway
+    plain = F.col("run_n") < c.stuck_run
     stats = local.groupBy("metric").agg(
         q("residual").alias("q"), F.avg(F.when(F.col("v") == 0, 1.0).otherwise(0.0)).alias("zeros"),
-        F.avg(F.when(F.col("step") == 0, 1.0).otherwise(0.0)).alias("repeats"), F.max("v").alias("top"),
-        F.percentile_approx(F.when(F.col("v") > 0, F.col("v")), [0.5, 0.75], c.accuracy).alias("positive"), F.count("*").alias("n_all"),
+        F.coalesce(F.avg(F.when(plain, F.when(F.col("step") == 0, 1.0).otherwise(0.0))), F.lit(1.0)).alias("repeats"),
+        F.percentile_approx(F.when(F.col("v") > 0, F.col("v")), [0.5, 0.75], c.accuracy).alias("positive"),
     )
     by_day = local.groupBy("metric", "weekday").agg(q("residual").alias("qd"))
-    joined = local.join(stats, "metric").join(by_day, ["metric", "weekday"])
+    # one row per series with its seven weekdays; while there are few enough it goes to all tasks, so readings are not shuffled again and a
+    # hot series stays spread over its blocks
+    weekly = by_day.groupBy("metric").agg(F.map_from_entries(F.collect_list(F.struct("weekday", "qd"))).alias("days"))
+    summary = cut_lineage(stats.join(weekly, "metric"))  # small beside the readings; its size is checked before it is sent
+    joined = local.join(small(summary), "metric").withColumn("qd", F.element_at("days", F.col("weekday")))
     iqr = F.greatest(F.col("q")[2] - F.col("q")[0], F.lit(1e-9))
-    iqr_day = F.greatest(F.col("qd")[2] - F.col("qd")[0], iqr)
     rel = F.col("dev") / F.greatest(F.col("level"), F.lit(1e-12))
     outside = ((F.col("residual") > F.col("qd")[2] + c.fence * iqr) | (F.col("residual") < F.col("qd")[0] - c.fence * iqr))
     often_zero = F.col("zeros") > c.zero_share

@@ -61,3 +61,13 @@ def test_zero_series_nulls_repeats_empty_and_extra_columns(spark):
     assert not found(df.unionByName(df))
     assert not found(series(spark, [1.0]).where("value > 5"))
     assert not found(spark.createDataFrame([(None, "a", 1.0), ("2026-01-01", None, 1.0), ("x", "a", 1.0)], "date string, metric string, value double"))
+
+
+def test_long_stuck_stretches_and_a_spike_on_the_first_day(spark):
+    v = NOISE[:]
+    v[20:58] = [10.25] * 38  # more than a quarter of the series
+    assert {d for d, r in found(series(spark, v)) if r == "stuck"} == {(date(2026, 1, 1) + timedelta(k)).isoformat() for k in range(20, 58)}
+    assert found(series(spark, [7.0] * 90)) == set()  # never changes: not stuck
+    v = NOISE[:]
+    v[0] = 90.0
+    assert found(series(spark, v)) == {("2026-01-01", "spike")}
