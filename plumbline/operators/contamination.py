@@ -1,21 +1,33 @@
-"""Contamination of a corpus with evaluation items: word n-grams, MinHash bands over windows, hashed sparse embeddings."""
+"""Contamination of a corpus with evaluation items: word n-grams, MinHash bands over windows, hashed sparse embeddings.
+
+The corpus is read once: each Arrow batch is split into words once, and all detectors asked for look at them in numpy. The items are
+few beside it; they go to the executors as an index of bounded size (``BLOCK_ITEMS``, ``BLOCK_WORDS``), and beyond that size as
+several indexes, one scan each. Nothing is shuffled but the hits."""
 
 from __future__ import annotations
 
 import math
+import re
+import unicodedata
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from hashlib import blake2b, md5
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import xxhash
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
-from ..functions.hashing import portable31
-from ..functions.text import ngrams, tokens, windows
-from ..plans.sizes import small, spread
+from ..plans.sizes import spread
 from ..session import cut_lineage
 
+#: Columns of an item that are scanned, joined in this order (fixed values).
+ITEM_FIELDS = ("prompt", "question", "input", "text", "answer", "output", "reference")
+#: Items, and words of items, of one index.
+BLOCK_ITEMS, BLOCK_WORDS = 20_000, 4_000_000
+
 
 @dataclass(frozen=True)
 class ScanConfig:
@@ -39,57 +51,62 @@ class ScanConfig:
             raise ValueError("bands * rows must be <= num_perm")
 
 
-def item_words(items: DataFrame, key: str = "id", text: str = "question") -> DataFrame:
-    """(item_id, words, n): the gram size of each item; 0 for items too short to be checked by grams."""
-    return items.select(F.col(key).alias("item_id"), tokens(F.col(text)).alias("words"))
+_GAP = re.compile(r"[\W_]+")
+_ASCII = re.compile(r"[a-z0-9]+")
 
 
-def _with_n(words: DataFrame, cfg: ScanConfig) -> DataFrame:
-    return words.withColumn("n", F.when(F.size("words") >= cfg.min_n, F.least(F.lit(cfg.n), F.size("words"))).otherwise(0))
+def words_of(text: str | None) -> list[str]:
+    """Words after compatibility forms and full case folding; marks of every kind part them."""
+    if not text:
+        return []
+    if text.isascii():
+        return _ASCII.findall(text.lower())
+    return _GAP.sub(" ", unicodedata.normalize("NFKC", text).casefold()).split()
 
 
-def item_grams(items: DataFrame, cfg: ScanConfig = ScanConfig()) -> DataFrame:
-    """(item_id, n, pos, gram, n_pos): positions count, repeats included."""
-    w = _with_n(item_words(items), cfg).where("n > 0")
-    gram = F.transform(F.sequence(F.lit(1), F.size("words") - F.col("n") + 1), lambda i: F.array_join(F.slice("words", i, F.col("n")), " "))
-    return w.select("item_id", "n", F.posexplode(gram).alias("pos", "gram"), (F.size("words") - F.col("n") + 1).alias("n_pos"))
+@F.pandas_udf(ArrayType(StringType()))
+def _split(s: pd.Series) -> pd.Series:
+    return s.map(words_of)
 
 
-def gram_matches(docs: DataFrame, items: DataFrame, cfg: ScanConfig = ScanConfig()) -> DataFrame:
-    """(doc_id, item_id, doc_pos, pos, n, n_pos): every shared gram. One gram size per distinct n of the items."""
-    grams = cut_lineage(item_grams(items, cfg))
-    sizes = [r.n for r in grams.select("n").distinct().limit(cfg.n + 1).collect()]  # at most ``n`` values
-    words = spread(docs.select("doc_id", "text")).select("doc_id", tokens(F.col("text")).alias("words"))
-    parts = [words.select("doc_id", F.lit(n).alias("n"), F.posexplode(ngrams(F.col("words"), n)).alias("doc_pos", "gram")) for n in sorted(sizes)]
-    if not parts:
-        parts = [words.select("doc_id", F.lit(0).alias("n"), F.lit(0).alias("doc_pos"), F.lit("").alias("gram")).limit(0)]
-    all_grams = parts[0]
-    for p in parts[1:]:
-        all_grams = all_grams.unionByName(p)
-    return all_grams.join(small(grams), ["n", "gram"]).select("doc_id", "item_id", "doc_pos", "pos", "n", "n_pos")
+def item_words(items: DataFrame, key: str = "id", fields: tuple[str, ...] = ITEM_FIELDS) -> DataFrame:
+    """(item_id, words) of each item: all its text columns together. Items without words stay, with []."""
+    return items.select(F.col(key).alias("item_id"), _split(_item_text(items, key, fields)).alias("words"))
 
 
-def gram_evidence(matches: DataFrame) -> DataFrame:
-    """Per (doc_id, item_id): hit positions, overlap ratio, longest run on one diagonal (in grams) and its span in words.
+def _item_text(items: DataFrame, key: str, fields: tuple[str, ...]) -> Column:
+    return F.concat_ws(" ", *[F.col(c) for c in fields if c in items.columns and c != key])
 
-    Gaps and islands: on a diagonal doc_pos - pos, pos minus its rank is constant along a run."""
-    m = matches.distinct().withColumn("diag", F.col("doc_pos") - F.col("pos"))
-    w = Window.partitionBy("doc_id", "item_id", "diag").orderBy("pos")
-    runs = m.withColumn("island", F.col("pos") - F.row_number().over(w)).groupBy("doc_id", "item_id", "diag", "island").agg(F.count("*").alias("run"), F.first("n").alias("n"))
-    longest = runs.groupBy("doc_id", "item_id").agg(F.max("run").alias("run"), F.first("n").alias("n"))
-    hits = m.groupBy("doc_id", "item_id").agg(F.count_distinct("pos").alias("hits"), F.max("n_pos").alias("n_pos"))
-    return hits.join(longest, ["doc_id", "item_id"]).select("doc_id", "item_id", "hits", F.round(F.col("hits") / F.col("n_pos"), 6).alias("overlap"), "run", (F.col("run") + F.col("n") - 1).alias("span_words"))
 
-
-def window_size(items: DataFrame) -> tuple[int, int]:
-    """Window and stride in words: 1.5 times the 90th percentile of the item lengths, at least 16; a quarter of it."""
-    p90 = item_words(items).agg(F.percentile(F.size("words"), 0.9)).first()[0] or 0
-    size = max(16, math.ceil(1.5 * p90))
-    return size, max(1, size // 4)
+def _with_n(words: DataFrame, cfg: ScanConfig) -> DataFrame:
+    return words.withColumn("n", F.when(F.size("words") >= cfg.min_n, F.least(F.lit(cfg.n), F.size("words"))).otherwise(0))
 
 
-# ---- MinHash -------------------------------------------------------------------------------------------------------
+# ---- hashes and signatures -----------------------------------------------------------------------------------------
 MERSENNE = (1 << 31) - 1
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+
+
+class _Hashes(dict):
+    """64-bit hashes of words, remembered."""
+
+    def __missing__(self, w: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        h = self[w] = xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"))
+        return h
+
+
+def grams_of(words: np.ndarray, sizes: set[int]) -> Iterator[tuple[int, np.ndarray]]:
+    """(n, hashes of the n-grams that begin at each place) for each wanted size, built up one word at a time."""
+    h = words.copy()
+    for n in range(1, max(sizes, default=0) + 1):
+        if n > 1:
+            if len(h) < 2:
+                return
+            h = h[:-1] * _STEP + words[n - 1 :]
+        if n in sizes:
+            yield n, h ^ (h >> np.uint64(31))
 
 
 def permutations(count: int) -> tuple[np.ndarray, np.ndarray]:
@@ -99,140 +116,409 @@ def permutations(count: int) -> tuple[np.ndarray, np.ndarray]:
     return a, b
 
 
-def signatures_of(hashes: list[np.ndarray], count: int) -> np.ndarray:
-    """One row of minima per set of 28-bit shingle hashes; empty sets get -1."""
+class _Shingles(dict):
+    """28 bits of md5 of a shingle, which every engine can repeat."""
+
+    def __missing__(self, s: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        h = self[s] = int(md5(s.encode("utf-8", "surrogatepass")).hexdigest()[:7], 16)
+        return h
+
+
+def shingle_hashes(words: list[str], k: int, memo: _Shingles) -> np.ndarray:
+    """Of each shingle in order; a list shorter than a shingle is hashed word by word."""
+    parts = map(" ".join, zip(*(words[i:] for i in range(k)))) if len(words) >= k else words
+    return np.fromiter((memo[x] for x in parts), np.int64)
+
+
+def signatures_of(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray, count: int) -> np.ndarray:
+    """Minima of the permuted hashes over each stretch (all of them non-empty), one row per stretch."""
     a, b = permutations(count)
-    out = np.full((len(hashes), count), -1, np.int64)
-    for k, h in enumerate(hashes):
-        if len(h):
-            out[k] = ((a[:, None] * h[None, :] + b[:, None]) % MERSENNE).min(1)
+    bounds = np.empty(2 * len(starts), np.int64)
+    bounds[::2], bounds[1::2] = starts, ends
+    out = np.empty((len(starts), count), np.int64)
+    padded = np.append(hashes, 0)  # an end may lie behind the last hash
+    for k in range(count):
+        out[:, k] = np.minimum.reduceat((a[k] * padded + b[k]) % MERSENNE, bounds)[::2]
     return out
 
 
-def with_signatures(df: DataFrame, cfg: ScanConfig) -> DataFrame:
-    """Adds ``sig`` (array<long>) to rows with ``shingles`` (distinct strings): hashed in the JVM, permuted in numpy batches."""
-    count = cfg.num_perm
+def window_starts(n: int, size: int, stride: int) -> list[int]:
+    """Every ``stride`` words, and one that ends with the text; a text of at most ``size`` words is one window."""
+    if n <= size:
+        return [0] if n else []
+    last = n - size
+    return [*range(0, last, stride), last]
 
-    @F.pandas_udf("array<long>")
-    def sign(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in batches:
-            yield pd.Series(list(signatures_of([np.asarray(x, np.int64) for x in s], count)), dtype=object)
 
-    return df.withColumn("sig", sign(F.transform("shingles", portable31)))
+# ---- hashed sparse embeddings --------------------------------------------------------------------------------------
+DIMENSIONS = 4096
+#: Words without weight (fixed values).
+STOP = frozenset("""
+a an the and or but if of to in on at by for with from as is are was were be been being
+it its this that these those there here what which who whom whose when where why how do
+does did done can could should would shall will may might must not no so than then too
+very just also into about over under up down out off again more most such only own same
+other some any each both few all i you he she we they me him her us them my your his our
+their s t
+""".split())
+
+
+def word_buckets(w: str) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets and signs of a word: its own, and those of the 4-grams of the word between angle brackets."""
+    padded = f"<{w}>"
+    parts = [f"w:{w}"] + ([f"c:{padded[i : i + 4]}" for i in range(len(padded) - 3)] if len(padded) > 4 else [])
+    h = [int.from_bytes(blake2b(x.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big") for x in parts]
+    return np.array([x % DIMENSIONS for x in h], np.int64), np.array([1.0 if x >> 63 else -1.0 for x in h], np.float32)
 
 
-def _bands(sig, cfg: ScanConfig):
-    return F.transform(F.sequence(F.lit(0), F.lit(cfg.bands - 1)), lambda i: F.xxhash64(i, F.slice(sig, i * cfg.rows + 1, cfg.rows)))
+def content_counts(words: list[str]) -> dict[str, int]:
+    out: dict[str, int] = {}
+    for w in words:
+        if w not in STOP:
+            out[w] = out.get(w, 0) + 1
+    return out
 
 
-def minhash_evidence(docs: DataFrame, items: DataFrame, cfg: ScanConfig = ScanConfig()) -> DataFrame:
-    """(doc_id, item_id, containment): best estimated containment of the item in a window, from windows that share a band.
+def document_frequency(lists: list[list[str]]) -> np.ndarray:
+    df = np.zeros(DIMENSIONS)
+    for ws in lists:
+        found = [word_buckets(w)[0] for w in content_counts(ws)]
+        if found:
+            df[np.unique(np.concatenate(found))] += 1
+    return df
+
+
+class Embedder:
+    """Sum over distinct words of (1 + ln count) times the word's signed, idf-weighted buckets; rows of length 1."""
+
+    def __init__(self, df: np.ndarray, n: int) -> None:
+        self.idf = np.where(df > 0, np.log((1 + n) / (1 + df)) + 1, math.log(1 + n) + 1).astype(np.float32)
+        self.memo: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+
+    def __getstate__(self) -> dict:
+        return {"idf": self.idf, "memo": {}}
+
+    def vector(self, w: str) -> tuple[np.ndarray, np.ndarray]:
+        got = self.memo.get(w)
+        if got is None:
+            if len(self.memo) > 200_000:
+                self.memo.clear()
+            at, sign = word_buckets(w)
+            got = self.memo[w] = (at, sign * self.idf[at])
+        return got
+
+    def dense(self, counts: list[dict[str, int]]) -> np.ndarray:
+        out = np.zeros((len(counts), DIMENSIONS), np.float32)
+        for row, own in zip(out, counts):
+            for w, c in own.items():
+                at, v = self.vector(w)
+                np.add.at(row, at, v * np.float32(1 + math.log(c)))
+        return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
+
+
+# ---- the index of the items ----------------------------------------------------------------------------------------
+@dataclass
+class Index:
+    """What the detectors look up, of at most BLOCK_ITEMS items."""
+
+    cfg: ScanConfig
+    ids: list[str]
+    words: list[list[str]]
+    size: int
+    stride: int
+    embedder: Embedder
+    n: list[int] = field(default_factory=list)
+    grams: dict[int, dict[int, list[tuple[int, int]]]] = field(default_factory=dict)
 
-    Band keys are joined, candidates reduced to distinct (window, item) and verified on the whole signature."""
-    size, stride = window_size(items)
-    from ..functions.text import shingles
+    def __post_init__(self) -> None:
+        cfg, memo, shingles = self.cfg, _Hashes(), _Shingles()
+        self.n = [min(cfg.n, len(w)) if len(w) >= cfg.min_n else 0 for w in self.words]
+        for i, (w, n) in enumerate(zip(self.words, self.n)):
+            if n:
+                for _, h in grams_of(np.array([memo[x] for x in w], np.uint64), {n}):
+                    for pos, g in enumerate(h.tolist()):
+                        self.grams.setdefault(n, {}).setdefault(g, []).append((i, pos))
+        # a bit map per size: one look tells almost every gram of the corpus from those of the items
+        self.bits = {n: np.zeros(1 << 22, bool) for n in self.grams}
+        for n, own in self.grams.items():
+            self.bits[n][(np.fromiter(own, np.uint64, len(own)) & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
+        lists = [np.unique(shingle_hashes(w, cfg.shingle, shingles)) for w in self.words]
+        self.n_shingles = np.array([len(x) for x in lists], np.int64)
+        full = np.flatnonzero(self.n_shingles)
+        ends = np.cumsum(self.n_shingles[full])
+        self.signatures = np.full((len(lists), cfg.num_perm), -1, np.int64)
+        if len(full):
+            self.signatures[full] = signatures_of(np.concatenate([lists[k] for k in full]), ends - self.n_shingles[full], ends, cfg.num_perm)
+        keys = band_keys(self.signatures[full], cfg)
+        order = [np.argsort(k, kind="stable") for k in keys]
+        self.bands = [(k[o], full[o]) for k, o in zip(keys, order)]
+        self.matrix = self.embedder.dense([content_counts(w) for w in self.words]).T.copy()  # buckets x items
+
+
+def band_keys(sig: np.ndarray, cfg: ScanConfig) -> list[np.ndarray]:
+    """One key per band and row: the band's minima in one number (exact for two rows, mixed for more)."""
+    out = []
+    for b in range(cfg.bands):
+        key = np.zeros(len(sig), np.int64)
+        for r in range(b * cfg.rows, (b + 1) * cfg.rows):
+            key = key * np.int64(1 << 31) + sig[:, r] if cfg.rows <= 2 else (key ^ sig[:, r]) * np.int64(0x2545F4914F6CDD1D)
+        out.append(key)
+    return out
 
-    it = with_signatures(item_words(items).select("item_id", shingles(F.col("words"), cfg.shingle).alias("shingles")).where(F.size("shingles") > 0), cfg)
-    it = cut_lineage(it.select("item_id", F.size("shingles").alias("n_item"), F.col("sig").alias("sig_i")))
-    win = spread(docs.select("doc_id", "text")).select("doc_id", F.posexplode(windows(tokens(F.col("text")), size, stride)).alias("w", "words")).where(F.size("words") > 0)
-    win = win.select("doc_id", "w", shingles(F.col("words"), cfg.shingle).alias("shingles"))
-    win = with_signatures(win, cfg).select("doc_id", "w", F.size("shingles").alias("n_win"), "sig")
-    keys_i = it.select("item_id", "n_item", "sig_i", F.explode(_bands(F.col("sig_i"), cfg)).alias("key"))
-    # a window is a candidate of an item once, however many bands they share: the keys of a window are looked up together
-    cand = win.withColumn("key", F.explode(_bands(F.col("sig"), cfg))).join(small(keys_i), "key").dropDuplicates(["doc_id", "w", "item_id"])
-    j = F.aggregate(F.zip_with("sig", "sig_i", lambda x, y: F.when(x == y, 1.0).otherwise(0.0)), F.lit(0.0), lambda s, x: s + x) / cfg.num_perm
-    c = cand.withColumn("j", j).withColumn("containment", F.least(F.lit(1.0), F.col("j") * (F.col("n_item") + F.col("n_win")) / (1 + F.col("j")) / F.col("n_item")))
-    return c.groupBy("doc_id", "item_id").agg(F.round(F.max("containment"), 6).alias("containment"))
 
+def window_size(lengths: list[int]) -> tuple[int, int]:
+    """Window and stride in words: 1.5 times the 90th percentile of the item lengths, at least 16; a quarter of it."""
+    size = max(16, math.ceil(1.5 * float(np.percentile(lengths, 90)))) if lengths else 16
+    return size, max(1, size // 4)
 
-# ---- hashed sparse embeddings ---------------------------------------------------------------------------------------
-DIMENSIONS = 4096
-STOP = "a an and are as at be by for from how in is it of on or that the to was what which who with".split()
-
-
-def cosine_evidence(docs: DataFrame, items: DataFrame, cfg: ScanConfig = ScanConfig()) -> DataFrame:
-    """(doc_id, item_id, cosine): best cosine of a window and an item from 0.75 times the suspicious level on.
-
-    Idf is fitted on the items. The items' matrix (size checked) is sent once; windows are embedded and multiplied with
-    it in Arrow batches, so windows never leave their partition."""
-    words = cut_lineage(item_words(items).where(F.size("words") > 0))
-    n_items = words.count()
-    if n_items > 20_000:
-        raise ValueError("the item matrix is sent to all executors; at most 20000 items")
-    size, stride = window_size(items)
-    rows = [(r.item_id, r.words) for r in words.orderBy("item_id").collect()]
-    shared = docs.sparkSession.sparkContext.broadcast(_item_matrix([w for _, w in rows]))
-    ids = [i for i, _ in rows]
-    floor = 0.75 * cfg.cosine_suspicious
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        idf, matrix = shared.value
-        memo: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-        for pdf in batches:
-            out: list[tuple] = []
-            keys, lists = pdf["doc_id"].tolist(), [list(w) for w in pdf["words"]]
-            for k in range(0, len(keys), 64):
-                owner, spans = [], []
-                for z in range(k, min(k + 64, len(keys))):
-                    n = len(lists[z])
-                    starts = ([0] if n <= size else list(dict.fromkeys([*range(0, n - size + 1, stride), n - size]))) if n else []
-                    spans += [lists[z][s : s + size] for s in starts]
-                    owner += [z] * len(starts)
-                for c in range(0, len(spans), 1000):  # at most 16 MB of windows at a time
-                    cos = _embed(spans[c : c + 1000], idf, memo) @ matrix.T
-                    w, i = np.nonzero(cos >= floor)
-                    out += [(keys[owner[c + x]], ids[y], float(cos[x, y])) for x, y in zip(w.tolist(), i.tolist())]
-            yield pd.DataFrame(out, columns=["doc_id", "item_id", "cosine"])
-
-    got = spread(docs.select("doc_id", "text")).select("doc_id", tokens(F.col("text")).alias("words")).mapInPandas(scan, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id string, cosine double")
-    return got.groupBy("doc_id", "item_id").agg(F.round(F.max("cosine"), 5).alias("cosine"))
-
-
-def _word_buckets(w: str) -> tuple[np.ndarray, np.ndarray]:
-    from hashlib import md5
-
-    if w in STOP:
-        return np.zeros(0, np.int64), np.zeros(0, np.float32)
-    padded = f"<{w}>"
-    fs = ["w:" + w] + ([padded[i : i + 4] for i in range(len(w) - 1)] if len(w) > 2 else [])
-    h = np.array([int(md5(f.encode("utf-8", "replace")).hexdigest()[:7], 16) for f in fs], np.int64)
-    return h % DIMENSIONS, np.where((h // DIMENSIONS) % 2 == 0, 1.0, -1.0).astype(np.float32)
 
+def indexes(items: DataFrame, cfg: ScanConfig = ScanConfig(), key: str = "id", fields: tuple[str, ...] = ITEM_FIELDS) -> Iterator[Index]:
+    """The items as indexes of bounded size; window and idf are those of all items together."""
+    words = item_words(items, key, fields).where(F.size("words") > 0)
+    size = items.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length(_item_text(items, key, fields))), F.lit(0)).alias("chars")).first()
+    blocks = max(1, math.ceil(size.n / BLOCK_ITEMS), math.ceil(size.chars / (6 * BLOCK_WORDS)))
+    if blocks > 1:
+        words = cut_lineage(words.distinct())
+        total = words.count()
+        lengths = [int(words.agg(F.percentile_approx(F.size("words"), 0.9, 100_000)).first()[0])]
+    def part(b: int) -> list[tuple[str, list[str]]]:
+        own = words if blocks == 1 else words.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b)
+        return sorted({(r.item_id or "", tuple(r.words)) for r in own.collect()})
+
+    if blocks == 1:
+        rows = part(0)
+        df, lengths, total = document_frequency([w for _, w in rows]), [len(w) for _, w in rows], len(rows)
+    else:
+        df = sum(document_frequency([w for _, w in part(b)]) for b in range(blocks))
+    window, stride = window_size(lengths)
+    for b in range(blocks):
+        rows = rows if blocks == 1 else part(b)
+        yield Index(cfg, [i for i, _ in rows], [list(w) for _, w in rows], window, stride, Embedder(df, total))
+
+
+def save_index(items: DataFrame, path: str, **names) -> None:
+    """The items' words as a table; ``load_index`` gives them back as items to scan with."""
+    item_words(items, **names).write.mode("overwrite").parquet(path)
+
+
+def load_index(spark, path: str) -> DataFrame:
+    return spark.read.parquet(path).select(F.col("item_id").alias("id"), F.array_join("words", " ").alias("text"))
+
+
+# ---- the scan ------------------------------------------------------------------------------------------------------
+def _gram_hits(keys: list, lists: list[list[str]], index: Index, memo: _Hashes) -> Iterator[tuple]:
+    sizes = set(index.grams)
+    flat = np.fromiter((memo[w] for ws in lists for w in ws), np.uint64)
+    ends = np.cumsum([len(ws) for ws in lists])
+    for n, h in grams_of(flat, sizes):
+        table = index.grams[n]
+        at = np.flatnonzero(index.bits[n][(h & np.uint64((1 << 22) - 1)).astype(np.int64)])
+        owner = np.searchsorted(ends, at, "right")
+        for pos, z, g in zip(at.tolist(), owner.tolist(), h[at].tolist()):
+            found = table.get(g)
+            start = pos - (int(ends[z - 1]) if z else 0)
+            if found and start + n <= len(lists[z]):
+                own = lists[z][start : start + n]
+                for i, p in found:
+                    if index.words[i][p : p + n] == own:
+                        yield keys[z], index.ids[i], "ngram", start, p, n, len(index.words[i]) - n + 1, None
+
+
+def _windows(lists: list[list[str]], index: Index) -> tuple[list[int], list[int]]:
+    owner, starts = [], []
+    for z, ws in enumerate(lists):
+        own = window_starts(len(ws), index.size, index.stride)
+        owner += [z] * len(own)
+        starts += own
+    return owner, starts
+
+
+def _minhash_hits(keys: list, lists: list[list[str]], index: Index, memo: _Shingles) -> Iterator[tuple]:
+    cfg = index.cfg
+    owner, starts = (np.array(x, np.int64) for x in _windows(lists, index))
+    if not len(owner) or not len(index.ids):
+        return
+    hashes = [shingle_hashes(ws, cfg.shingle, memo) for ws in lists]
+    count = np.array([len(h) for h in hashes], np.int64)
+    base = np.cumsum(count) - count
+    words = np.array([len(ws) for ws in lists], np.int64)[owner]
+    # shingles of a window: those that lie in it; a shorter text has its words
+    per = np.where(words < cfg.shingle, words, np.minimum(index.size, words) - cfg.shingle + 1)
+    flat, a = np.concatenate(hashes), base[owner] + starts
+    for c in range(0, len(owner), 4000):
+        own, at, many = owner[c : c + 4000], a[c : c + 4000], per[c : c + 4000]
+        lo, hi = int(at.min()), int((at + many).max())
+        sig = signatures_of(flat[lo:hi], at - lo, at + many - lo, cfg.num_perm)
+        cells = []
+        for key, (known, items) in zip(band_keys(sig, cfg), index.bands):
+            x, y = np.searchsorted(known, key, "left"), np.searchsorted(known, key, "right")
+            w = np.flatnonzero(y > x)
+            n = (y - x)[w]
+            pick = np.repeat(x[w], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            cells.append(np.repeat(w, n) * len(index.ids) + items[pick])
+        cells = np.unique(np.concatenate(cells))
+        w, i = cells // len(index.ids), cells % len(index.ids)
+        distinct = {int(x): len(np.unique(flat[at[x] : at[x] + many[x]])) for x in np.unique(w)}
+        n_win = np.array([distinct[x] for x in w.tolist()], float)
+        j = np.concatenate([(sig[w[k : k + 20_000]] == index.signatures[i[k : k + 20_000]]).mean(1) for k in range(0, len(w), 20_000)]) if len(w) else np.zeros(0)
+        part = np.minimum(1.0, j * (index.n_shingles[i] + n_win) / (1 + j) / index.n_shingles[i])
+        best: dict[tuple[int, int], float] = {}
+        for z, y, v in zip(own[w].tolist(), i.tolist(), part.tolist()):
+            if v > best.get((z, y), -1.0):
+                best[z, y] = v
+        for (z, y), v in best.items():
+            yield keys[z], index.ids[y], "minhash", None, None, None, None, v
+
+
+def _cosine_hits(keys: list, lists: list[list[str]], index: Index) -> Iterator[tuple]:
+    """Products go through words: each distinct word meets the items once, windows add up the rows of their words."""
+    floor, n_items = 0.75 * index.cfg.cosine_suspicious, len(index.ids)
+    owner, starts = _windows(lists, index)
+    if not owner or not n_items:
+        return
+    number: dict[str, int] = {}
+    coded = [np.fromiter((-1 if w in STOP else number.setdefault(w, len(number)) for w in ws), np.int64, len(ws)) for ws in lists]
+    vocabulary = [index.embedder.vector(w) for w in number]
+    sizes = np.array([len(at) for at, _ in vocabulary], np.int64)
+    first = np.cumsum(sizes) - sizes
+    buckets = np.concatenate([at for at, _ in vocabulary]) if vocabulary else np.zeros(0, np.int64)
+    values = np.concatenate([v for _, v in vocabulary]) if vocabulary else np.zeros(0, np.float32)
+    step = max(16, min(512, 4_000_000 // max(1, n_items)))
+    best: dict[tuple[int, int], float] = {}
+    for c in range(0, len(owner), step):
+        own, at = owner[c : c + step], starts[c : c + step]
+        parts = [coded[z][s : s + index.size] for z, s in zip(own, at)]
+        cell = np.repeat(np.arange(len(parts)), [len(x) for x in parts]) * (len(number) + 1) + np.concatenate(parts) + 1
+        cell, count = np.unique(cell, return_counts=True)
+        w, word = cell // (len(number) + 1), cell % (len(number) + 1) - 1
+        w, word, tf = (x[word >= 0] for x in (w, word, (1 + np.log(count)).astype(np.float32)))
+        if not len(w):
+            continue
+        # length of each window: its buckets added up first
+        many = sizes[word]
+        pick = np.repeat(first[word], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        weight = values[pick] * np.repeat(tf, many)
+        at_bucket = np.repeat(w, many) * DIMENSIONS + buckets[pick]
+        sums = np.bincount(at_bucket, weight, len(parts) * DIMENSIONS).reshape(len(parts), DIMENSIONS)
+        norm = np.sqrt((sums**2).sum(1))
+        # each word of this step meets the items once
+        words, back = np.unique(word, return_inverse=True)
+        met = np.empty((len(words), n_items), np.float32)
+        for k in range(0, len(words), 2000):
+            group = words[k : k + 2000]
+            rows = np.zeros((len(group), DIMENSIONS), np.float32)
+            x = np.repeat(first[group], sizes[group]) + np.arange(sizes[group].sum()) - np.repeat(np.cumsum(sizes[group]) - sizes[group], sizes[group])
+            np.add.at(rows, (np.repeat(np.arange(len(group)), sizes[group]), buckets[x]), values[x])
+            met[k : k + 2000] = rows @ index.matrix
+        head = np.flatnonzero(np.r_[True, w[1:] != w[:-1]])
+        dot = np.add.reduceat(met[back.ravel()] * tf[:, None], head, axis=0)
+        cos = dot / np.maximum(norm[w[head]], 1e-12)[:, None]
+        for r, i in zip(*(x.tolist() for x in np.nonzero(cos >= floor))):
+            z, v = own[int(w[head[r]])], float(cos[r, i])
+            if v > best.get((z, i), -1.0):
+                best[z, i] = v
+    for (z, i), v in best.items():
+        yield keys[z], index.ids[i], "embedding", None, None, None, None, v
+
+
+KINDS = ("ngram", "minhash", "embedding")
+
+
+def scan(docs: DataFrame, items: DataFrame, cfg: ScanConfig = ScanConfig(), kinds: tuple[str, ...] = KINDS, key: str = "doc_id", text: str = "text", **names) -> DataFrame:
+    """(doc_id, item_id, kind, doc_pos, pos, n, n_pos, value): for ``ngram`` every shared gram, for ``minhash`` and ``embedding`` the best
+    window of each document that is a candidate, by containment and cosine.
+
+    Null and empty texts and items without words have no rows; repeated documents repeat theirs; empty tables give none."""
+    spark = docs.sparkSession
+    rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).where(F.length("text") > 0)
+    schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, item_id string, kind string, doc_pos int, pos int, n int, n_pos int, value double"
+    rows = spread(rows)
+    out = None
+    for index in indexes(items, cfg, **names):
+        shared = spark.sparkContext.broadcast(index)
+
+        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            own, memo, shingles = shared.value, _Hashes(), _Shingles()
+            for pdf in batches:
+                keys, lists, at, words, hits = pdf["doc_id"].tolist(), [words_of(t) for t in pdf["text"]], 0, 0, []
+                for k in range(len(keys)):  # texts in portions of some 200,000 words
+                    words += len(lists[k])
+                    if words > 200_000 or k + 1 == len(keys):
+                        part = keys[at : k + 1], lists[at : k + 1]
+                        if "ngram" in kinds:
+                            hits += _gram_hits(*part, own, memo)
+                        if "minhash" in kinds:
+                            hits += _minhash_hits(*part, own, shingles)
+                        if "embedding" in kinds:
+                            hits += _cosine_hits(*part, own)
+                        at, words = k + 1, 0
+                frame = pd.DataFrame(hits, columns=["doc_id", "item_id", "kind", "doc_pos", "pos", "n", "n_pos", "value"])
+                yield frame.astype({c: "Int32" for c in ("doc_pos", "pos", "n", "n_pos")})
+
+        found = rows.mapInPandas(run, schema)
+        out = found if out is None else out.unionByName(found)
+    return out
 
-def _embed(lists: list[list[str]], idf: np.ndarray, memo: dict) -> np.ndarray:
-    """Unit rows of all word lists at once: one count over (list, bucket), then only the occupied cells are weighted."""
-    at, sign, sizes = [], [], []
-    for ws in lists:
-        n = 0
-        for w in ws:
-            got = memo.get(w)
-            if got is None:
-                if len(memo) > 200_000:
-                    memo.clear()
-                got = memo[w] = _word_buckets(w)
-            at.append(got[0])
-            sign.append(got[1])
-            n += len(got[0])
-        sizes.append(n)
-    if not sum(sizes):
-        return np.zeros((len(lists), DIMENSIONS), np.float32)
-    cell = np.repeat(np.arange(len(lists)), sizes) * DIMENSIONS + np.concatenate(at)
-    flat = np.bincount(cell, np.concatenate(sign), len(lists) * DIMENSIONS)
-    used = np.flatnonzero(flat)
-    v = flat[used]
-    flat[used] = np.sign(v) * (1 + np.log(np.abs(v))) * idf[used % DIMENSIONS]
-    rows = flat.reshape(len(lists), DIMENSIONS).astype(np.float32)
-    return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-12)
-
-
-def _item_matrix(lists: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
-    df = np.zeros(DIMENSIONS)
-    for ws in lists:
-        b = np.unique(np.concatenate([_word_buckets(w)[0] for w in ws])) if ws else np.zeros(0, np.int64)
-        df[b] += 1
-    n = len(lists)
-    idf = np.where(df > 0, np.log((1 + n) / (1 + df)) + 1, math.log(1 + n) + 1).astype(np.float32)
-    return idf, _embed(lists, idf, {})
+
+def gram_matches(docs: DataFrame, items: DataFrame, cfg: ScanConfig = ScanConfig(), **names) -> DataFrame:
+    """(doc_id, item_id, doc_pos, pos, n, n_pos): every shared gram, verified word by word."""
+    return matches_of(scan(docs, items, cfg, ("ngram",), **names))
+
+
+def matches_of(hits: DataFrame) -> DataFrame:
+    return hits.where("kind = 'ngram'").select("doc_id", "item_id", "doc_pos", "pos", "n", "n_pos")
+
+
+def _best(hits: DataFrame, kind: str, name: str, digits: int) -> DataFrame:
+    return hits.where(F.col("kind") == kind).groupBy("doc_id", "item_id").agg(F.round(F.max("value"), digits).alias(name))
+
+
+def minhash_evidence(docs: DataFrame, items: DataFrame, cfg: ScanConfig = ScanConfig(), **names) -> DataFrame:
+    """(doc_id, item_id, containment): best estimated containment of the item in a window, from windows that share a band; verified on
+    the whole signature."""
+    return _best(scan(docs, items, cfg, ("minhash",), **names), "minhash", "containment", 6)
+
+
+def cosine_evidence(docs: DataFrame, items: DataFrame, cfg: ScanConfig = ScanConfig(), **names) -> DataFrame:
+    """(doc_id, item_id, cosine): best cosine of a window and an item from 0.75 times the suspicious level on; idf is fitted on the items."""
+    return _best(scan(docs, items, cfg, ("embedding",), **names), "embedding", "cosine", 5)
+
+
+def other_evidence(hits: DataFrame) -> DataFrame:
+    """(doc_id, item_id, overlap, containment, cosine) of what a scan found beside grams."""
+    return merge_evidence(_best(hits, "minhash", "containment", 6), _best(hits, "embedding", "cosine", 5))
+
+
+def gram_evidence(matches: DataFrame) -> DataFrame:
+    """Per (doc_id, item_id): hit positions, overlap ratio, longest run on one diagonal (in grams) and its span in words.
+
+    Gaps and islands: on a diagonal doc_pos - pos, pos minus its rank is constant along a run."""
+    m = matches.distinct().withColumn("diag", F.col("doc_pos") - F.col("pos"))
+    w = Window.partitionBy("doc_id", "item_id", "diag").orderBy("pos")
+    runs = m.withColumn("island", F.col("pos") - F.row_number().over(w)).groupBy("doc_id", "item_id", "diag", "island").agg(F.count("*").alias("run"), F.first("n").alias("n"))
+    longest = runs.groupBy("doc_id", "item_id").agg(F.max("run").alias("run"), F.first("n").alias("n"))
+    hits = m.groupBy("doc_id", "item_id").agg(F.count_distinct("pos").alias("hits"), F.max("n_pos").alias("n_pos"))
+    return hits.join(longest, ["doc_id", "item_id"]).select("doc_id", "item_id", "hits", F.round(F.col("hits") / F.col("n_pos"), 6).alias("overlap"), "run", (F.col("run") + F.col("n") - 1).alias("span_words"))
+
+
+def candidate_probability(jaccard: Column | float, cfg: ScanConfig = ScanConfig()) -> Column:
+    """Chance that two sets of this similarity share a band."""
+    j = jaccard if isinstance(jaccard, Column) else F.lit(float(jaccard))
+    return 1 - F.pow(1 - F.pow(j, F.lit(cfg.rows)), F.lit(cfg.bands))
+
+
+def top_evidence(evidence: DataFrame, cfg: ScanConfig = ScanConfig(), buckets: int = 64) -> DataFrame:
+    """At most ``max_matches`` rows of each item for a report: those with the highest overlap, containment or cosine, ties by document.
+
+    Two steps, so that an item that a third of all documents leak is no single task."""
+    score = F.greatest(*[F.coalesce(F.col(c), F.lit(0.0)) for c in ("overlap", "containment", "cosine")])
+    rows = evidence.withColumns({"score": score, "bucket": F.pmod(F.xxhash64("doc_id"), F.lit(buckets))})
+    for by in (["item_id", "bucket"], ["item_id"]):
+        rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), "doc_id"))
+        rows = rows.withColumn("rank", rank).where(F.col("rank") <= cfg.max_matches)
+    return rows.drop("score", "bucket")
 
 
 # ---- grading -------------------------------------------------------------------------------------------------------

@@ -14,8 +14,8 @@ from ..sources.records import MetricStore
 
 def scan_and_clean(docs: DataFrame, items: DataFrame, cfg: contamination.ScanConfig = contamination.ScanConfig()) -> tuple[DataFrame, DataFrame]:
     """(item grades, documents without contaminated ones) by grams and MinHash."""
-    matches = cut_lineage(contamination.gram_matches(docs, items, cfg))
-    others = cut_lineage(contamination.merge_evidence(contamination.minhash_evidence(docs, items, cfg)))
+    hits = cut_lineage(contamination.scan(docs, items, cfg))
+    matches, others = contamination.matches_of(hits), contamination.other_evidence(hits)
     evidence = contamination.merge_evidence(contamination.gram_evidence(matches), others)
     return contamination.grade_items(items, matches, others, cfg), contamination.decontaminate(docs, contamination.doc_levels(evidence, cfg))
 

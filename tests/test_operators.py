@@ -87,6 +87,39 @@ def test_minhash_and_cosine_find_a_light_edit(spark):
     assert m[1] > 0.5 and 2 not in m and c[1] > contamination.ScanConfig().cosine_suspicious and 2 not in c
 
 
+def test_scan_in_several_indexes_equals_one_and_reads_answers(spark, monkeypatch, tmp_path):
+    rng = np.random.default_rng(3)
+    text = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 400, n))
+    qs = [(f"q{k}", text(20), text(14) if k % 2 else None) for k in range(12)] + [("e", "", None), (None, text(9), None)]
+    items = spark.createDataFrame(qs, "id string, question string, answer string")
+    docs = spark.createDataFrame([(k, f"{text(30)} {qs[k % 12][1]} {qs[k % 12][2] or ''} {text(k * 7)}") for k in range(40)] + [(90, None), (91, " "), (92, qs[1][2])], "doc_id long, text string").withColumn("n", F.lit("clash"))
+    key = lambda df: sorted((r.doc_id, r.item_id, r.kind, r.doc_pos, r.pos, r.n, round(r.value or 0, 5)) for r in df.collect())
+    one = key(contamination.scan(docs, items))
+    assert {r[2] for r in one} == {"ngram", "minhash", "embedding"} and any(r[0] == 92 and r[1] == "q1" and r[2] == "ngram" for r in one)
+    monkeypatch.setattr(contamination, "BLOCK_ITEMS", 5)
+    assert key(contamination.scan(docs, items)) == one
+    contamination.save_index(items, str(tmp_path / "index"))
+    assert key(contamination.scan(docs, contamination.load_index(spark, str(tmp_path / "index")))) == one
+    assert contamination.scan(docs.where("doc_id < 0"), items).count() == 0 and contamination.scan(docs, items.where("id = 'none'")).count() == 0
+    top = contamination.top_evidence(contamination.merge_evidence(contamination.gram_evidence(contamination.gram_matches(docs, items))), contamination.ScanConfig(max_matches=2))
+    assert max(r.rank for r in top.collect()) == 2
+    assert spark.range(1).select(F.round(contamination.candidate_probability(0.2), 2)).first()[0] == 0.93
+
+
+def test_cosine_equals_dense_products(spark):
+    words = ["apple tree grows near old river bank", "seven wizards study maps of northern valleys", "apple river maps"]
+    df = contamination.document_frequency([contamination.words_of(w) for w in words])
+    e = contamination.Embedder(df, 3)
+    dense = e.dense([contamination.content_counts(contamination.words_of(w)) for w in words])
+    items = spark.createDataFrame([(f"q{k}", w) for k, w in enumerate(words)], "id string, question string")
+    docs = spark.createDataFrame(list(enumerate(words)), "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): r.cosine for r in contamination.cosine_evidence(docs, items).collect()}
+    for a in range(3):
+        for b in range(3):
+            want = float(dense[a] @ dense[b])
+            assert abs(got.get((a, f"q{b}"), 0.0) - want) < 1e-4 or ((a, f"q{b}") not in got and want < 0.3)
+
+
 def test_similar_sets_equals_brute_force(spark):
     rng = np.random.default_rng(1)
     sets = {k: sorted({f"e{min(int(x), 30)}" for x in rng.zipf(1.3, 12)}) for k in range(120)}
