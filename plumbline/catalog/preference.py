@@ -90,9 +90,10 @@ _DON = f""", k as (select event_id, list_sort(list_distinct({_WORDS.format('prom
   dn as (select *, row_number() over (partition by event_id order by similarity desc, donor desc) i from q where similarity >= 0.6 - 1e-12)"""
 _BLANK = lambda c: f"not regexp_matches(coalesce({c}, ''), '\\S')"
 _WC = lambda c: f"len(list_filter(regexp_split_to_array(coalesce({c}, ''), '\\s+'), lambda t: t <> ''))"
+_LEAK = B.LEAK.replace("'", "''")
 _PR = f"""with p as (select distinct on (pair_id) * from pairs), r as (select *, case when {_BLANK('prompt')} or {_BLANK('chosen')} or {_BLANK('rejected')} then 'empty' when {_NORM.format('chosen')} = {_NORM.format('rejected')} then 'identical'
    when {_WC('chosen')} not between 3 and 800 or {_WC('prompt')} > 2000 then 'length' when {_REF.format('chosen')} then 'refusal'
-   when strategy = 'teacher' and regexp_matches(replace(chosen, '’', ''''), '(?i)verified (?:\\w+ ){{0,2}}(?:answers?|steps|information|documentation|examples?)|reference (?:answers?|material)|I(?:''ve| have)(?: been)? (?:given|provided)|I was (?:given|provided)|\\bmy (?:documentation|references|reference material|sources)\\b|(?:information|documentation|context|references?) (?:available|provided|given) to me') then 'context_leak'
+   when strategy = 'teacher' and regexp_matches(replace(chosen, '’', ''''), '{_LEAK}') then 'context_leak'
    when strategy <> 'correction' and (margin is null or margin < 1) then 'low_margin' end reason from p)"""
 _SH = f""", h as (select pair_id, {_WORDS.format("prompt || chr(10) || chosen")} w from r where reason is null), s as (select pair_id, list_sort(case when len(w) >= 3 then list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) else list_distinct(w) end) items from h),
    reps as (select min(pair_id) id, items from s group by items), ex as (select id, len(items) n, unnest(items) e from reps), c as (select a.id a, b.id b, count(*) c, any_value(a.n) na, any_value(b.n) nb from ex a join ex b on a.e = b.e and a.id < b.id group by all)"""

@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import random
-import unicodedata
 from itertools import combinations
 
-import pandas as pd
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
 
 SEVERITY = {"low": 0, "medium": 1, "high": 2, "critical": 3}
 
@@ -43,29 +40,114 @@ def resilience(runs: DataFrame, findings: DataFrame, by: str = "level") -> DataF
     return x.select(by, "runs", "failed", F.round(F.col("failed") / F.col("runs"), 3).alias("attack_success_rate"), F.round(1 / (1 + F.col("weight") / F.col("runs")), 3).alias("resilience"))
 
 
-#: What can be said of a text by patterns alone.
-TEXT_CLAIMS = {
-    "zero_width": "[​‌‍⁠﻿]", "fullwidth": "[！-～　]", "homoglyph": r"[\p{L}&&[^\x00-\x7f]]", "emoji": r"[\x{1F000}-\x{1FFFF}\x{2600}-\x{27BF}]", "combining_marks": r"\p{M}", "rtl": r"[\p{IsHebrew}\p{IsArabic}\x{202B}\x{202E}\x{2067}]",
-    "whitespace": r"[\s&&[^ ]]|  |^\s|\s$", "markup": r"(?m)<[^>]+>|\*\*|__|\[[^\]]*\]\(|^#|```|&\w+;|\{\s*\"", "nested_quoting": "[\"'`“”‘’\\\\]", "delimiter_collision": r"[|;\t\":{}\[\]=,\n]|---|###",
-    "instruction_like": r"(?i)\b(ignore|disregard|instructions?|system|override|forget|you must|you are|assistant|prompt|output|respond|answer|approve|reject|escalate)\b",
-}
+# ---- claims about a text -----------------------------------------------------------------------------------------------
+#: Signs and words that make a claim true (fixed values).
+ZERO_WIDTH = "\u200b\u200c\u200d\u2060\ufeff"
+QUOTES = "\"'`“”‘’\\"
+DELIMITERS = "|;\t\":{}[]=,\n"
+RULERS = ("---", "###")
+MARKS = ("**", "__", "```")
+INSTRUCTIONS = ("ignore", "disregard", "instruction", "instructions", "system", "override", "forget", "assistant", "prompt", "output", "respond", "answer", "approve", "reject", "escalate")
+ORDERS = ("you must", "you are")
+#: First and last code points (fixed values).
+WIDE = ((0xFF01, 0xFF5E), (0x3000, 0x3000))
+PICTURES = ((0x1F000, 0x10FFFF), (0x2600, 0x27BF))
+DIRECTED = ((0x0590, 0x08FF), (0xFB1D, 0xFDFF), (0xFE70, 0xFEFC), (0x202A, 0x202E), (0x2066, 0x2069))
 
 
-def claims(text: Column) -> Column:
-    """Names of all claims that hold of a text, in order of name."""
-    return F.array_compact(F.array(*[F.when(text.rlike(p), F.lit(n)) for n, p in sorted(TEXT_CLAIMS.items())]))
+def _has_any_of(text: Column, signs: str) -> Column:
+    return F.length(F.translate(text, signs, "")) < F.length(text)
+
+
+def _within(text: Column, ranges: tuple[tuple[int, int], ...]) -> Column:
+    return text.rlike("[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in ranges) + "]")
+
+
+def _holds_one(text: Column, parts: tuple[str, ...]) -> Column:
+    return F.exists(F.array(*map(F.lit, parts)), lambda x: F.contains(text, x))
+
 
+def _markup(text: Column) -> Column:
+    """A mark, a heading, a link, a tag that is closed again, an entity, or an object that opens with a key."""
+    lines, tags, refs = F.split(text, "\n"), F.split(text, "<"), F.split(text, "&")
+    closed = F.exists(F.slice(tags, 2, F.greatest(F.size(tags), F.lit(1))), lambda x: F.instr(x, ">") > 1)
+    entity = F.exists(F.slice(refs, 2, F.greatest(F.size(refs), F.lit(1))), lambda x: F.substring_index(x, ";", 1).rlike(r"^\w+$") & F.contains(x, F.lit(";")))
+    keyed = F.exists(F.split(text, r"\{"), lambda x: F.startswith(F.ltrim(x), F.lit('"'))) & F.contains(text, F.lit("{"))
+    link = F.contains(F.substring_index(text, "](", 1), F.lit("[")) & F.contains(text, F.lit("]("))
+    return _holds_one(text, MARKS) | F.exists(lines, lambda x: F.startswith(x, F.lit("#"))) | link | closed | entity | keyed
 
-@F.pandas_udf(ArrayType(StringType()))
-def unicode_claims(s: pd.Series) -> pd.Series:
-    """Claims that need character properties: direction and combining class."""
-    rtl = {"R", "AL", "RLE", "RLO", "RLI"}
 
-    def one(t: str | None) -> list[str]:
-        t = t or ""
-        return [n for n, f in (("combining_marks", lambda c: unicodedata.combining(c)), ("rtl", lambda c: unicodedata.bidirectional(c) in rtl)) if not t.isascii() and any(f(c) for c in t)]
+def _instructs(text: Column) -> Column:
+    words = F.split(F.lower(text), r"\W+")
+    return F.arrays_overlap(words, F.array(*map(F.lit, INSTRUCTIONS))) | _holds_one(F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" ")), tuple(f" {x} " for x in ORDERS))
 
-    return s.map(one)
+
+def _cased(text: Column) -> Column:
+    """All capitals, no capitals, or a capital within a word."""
+    letters = F.regexp_replace(text, r"\P{L}", "")
+    return (F.length(letters) > 1) & ((text == F.upper(text)) | (text == F.lower(text)) | text.rlike("[a-z][A-Z]"))
+
+
+#: What can be said of a text alone: name and predicate.
+CLAIMS = {
+    "casing": _cased,
+    "combining_marks": lambda t: t.rlike(r"\p{M}"),
+    "delimiter_collision": lambda t: _has_any_of(t, DELIMITERS) | _holds_one(t, RULERS),
+    "emoji": lambda t: _within(t, PICTURES),
+    "fullwidth": lambda t: _within(t, WIDE),
+    "homoglyph": lambda t: F.length(F.regexp_replace(t, r"\P{L}|[a-zA-Z]", "")) > 0,
+    "instruction_like": _instructs,
+    "markup": _markup,
+    "nested_quoting": lambda t: _has_any_of(t, QUOTES),
+    "rtl": lambda t: _within(t, DIRECTED),
+    "whitespace": lambda t: F.contains(t, F.lit("  ")) | (F.length(F.regexp_replace(t, r"[\S ]", "")) > 0) | F.startswith(t, F.lit(" ")) | F.endswith(t, F.lit(" ")),
+    "zero_width": lambda t: _has_any_of(t, ZERO_WIDTH),
+}
+
+
+def claims(text: Column) -> Column:
+    """Names of all claims that hold of a text, in order of name; null gives []."""
+    return F.array_compact(F.array(*[F.when(holds(text), F.lit(name)) for name, holds in CLAIMS.items()]))
+
+
+def structural_claims(df: DataFrame, spec: dict[str, dict]) -> Column:
+    """Names of the claims that hold of a case's fields (string columns, as in ``schema_errors``), in order of name: above_max,
+    at_max_length, below_min, date_format, empty, invalid_choice, invalid_date, leap_day, long_input, missing, negative, null,
+    over_max_length, whitespace_only, wrong_type, zero."""
+    hits: dict[str, list[Column]] = {}
+    add = lambda name, cond: hits.setdefault(name, []).append(cond)
+    for name, s in spec.items():
+        c, kind = F.col(name), s.get("type", "string")
+        add("missing" if s.get("required") else "null", c.isNull())
+        if kind in ("integer", "number"):
+            v = c.try_cast("double")
+            add("wrong_type", c.isNotNull() & (v.isNull() | ((v != F.floor(v)) if kind == "integer" else F.lit(False))))
+            add("zero", v == 0)
+            add("negative", v < 0)
+            if "min" in s:
+                add("below_min", v < s["min"])
+            if "max" in s:
+                add("above_max", v > s["max"])
+        elif kind == "date":
+            day = F.when(c.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(c, "yyyy-MM-dd"))
+            add("invalid_date", c.isNotNull() & day.isNull())
+            add("date_format", c.isNotNull() & day.isNull())
+            add("leap_day", F.endswith(c, F.lit("-02-29")))
+            if "min" in s:
+                add("below_min", day < F.lit(s["min"]).cast("date"))
+            if "max" in s:
+                add("above_max", day > F.lit(s["max"]).cast("date"))
+        elif kind == "enum":
+            add("invalid_choice", ~c.isin(*s["choices"]))
+        else:
+            add("empty", c == "")
+            add("whitespace_only", (F.length(c) > 0) & ~c.rlike(r"\S"))
+            most = s.get("max_length")
+            add("long_input", F.length(c) >= (0.8 * most if most else 1000))
+            if most:
+                add("over_max_length", F.length(c) > most)
+                add("at_max_length", F.length(c) == most)
+    return F.array_compact(F.array(*[F.when(F.coalesce(F.exists(F.array(*conds), lambda x: F.coalesce(x, F.lit(False))), F.lit(False)), F.lit(name)) for name, conds in sorted(hits.items())]))
 
 
 def schema_errors(df: DataFrame, spec: dict[str, dict]) -> Column:
@@ -103,27 +185,38 @@ def pair_coverage(rows: DataFrame, factors: list[str]) -> DataFrame:
     return x.groupBy("f1", "f2").agg(F.count_distinct("l1", "l2").alias("covered"), (F.count_distinct("l1") * F.count_distinct("l2")).alias("total"))
 
 
-def covering_array(sizes: list[int], seed: int = 0, tries: int = 20) -> list[list[int]]:
-    """Rows of level numbers such that every pair of levels of two factors occurs; greedy, on the driver (a design, not data)."""
+def covering_array(sizes: list[int]) -> list[list[int]]:
+    """Rows of level numbers such that every pair of levels of two factors occurs; a design, built on the driver.
+
+    Grown factor by factor: the first two in full; each further one is first added to the rows there are, level by level where it closes
+    most open pairs, and then gets rows of its own for the pairs still open, which share places left free (-1)."""
+    order = sorted(range(len(sizes)), key=lambda k: -sizes[k])
     if len(sizes) < 2:
         return [[k] for k in range(sizes[0])] if sizes else []
-    open_pairs = {(i, a, j, b) for i, j in combinations(range(len(sizes)), 2) for a in range(sizes[i]) for b in range(sizes[j])}
-    rng, rows = random.Random(seed), []
-    pairs = lambda r: {(i, r[i], j, r[j]) for i, j in combinations(range(len(sizes)), 2) if r[i] is not None and r[j] is not None}
-    while open_pairs:
-        best: tuple[int, list] = (-1, [])
-        pool = sorted(open_pairs)
-        for _ in range(tries):
-            i, a, j, b = rng.choice(pool)
-            row: list = [None] * len(sizes)
-            row[i], row[j] = a, b
-            for k in rng.sample([k for k in range(len(sizes)) if row[k] is None], len(sizes) - 2):
-                gains = [len(pairs(row[:k] + [v] + row[k + 1 :]) & open_pairs) for v in range(sizes[k])]
-                row[k] = gains.index(max(gains))
-            best = max(best, (len(pairs(row) & open_pairs), row), key=lambda t: t[0])
-        rows.append(best[1])
-        open_pairs -= pairs(best[1])
-    return rows
+    rows = np.array([(a, b) for a in range(sizes[order[0]]) for b in range(sizes[order[1]])])
+    for f in order[2:]:
+        levels = sizes[f]
+        need = [np.ones((sizes[order[k]], levels), bool) for k in range(rows.shape[1])]
+        column = np.empty(len(rows), int)
+        for r, row in enumerate(rows):
+            gain = sum((open_[v] if v >= 0 else np.zeros(levels, int)) for open_, v in zip(need, row)) + np.zeros(levels, int)
+            column[r] = int(gain.argmax()) if gain.any() else -1
+            for open_, v in zip(need, row):
+                if v >= 0 and column[r] >= 0:
+                    open_[v, column[r]] = False
+        rows = np.c_[rows, column]
+        extra: list[np.ndarray] = [x for x in rows if (x < 0).any()]
+        rows = rows[(rows >= 0).all(1)]
+        for k, open_ in enumerate(need):
+            for v, level in zip(*np.nonzero(open_)):
+                free = next((x for x in extra if x[-1] in (-1, level) and x[k] in (-1, v)), None)
+                if free is None:
+                    free = np.full(rows.shape[1], -1)
+                    extra.append(free)
+                free[k], free[-1] = v, level
+        rows = np.r_[rows, extra] if extra else rows
+    rows = np.where(rows < 0, 0, rows)
+    return rows[:, np.argsort(order)].tolist()
 
 
 def probe_rates(results: DataFrame, by: list[str]) -> DataFrame:
@@ -165,8 +258,8 @@ def novelty(cases: DataFrame, seeds: DataFrame, key: str = "id", text: str = "te
 def reject_reason(cases: DataFrame, seeds: DataFrame, min_novelty: float = 0.2, near: float = 0.95) -> DataFrame:
     """(id, reason): the first that applies of malformed, copy_of_seed, duplicate, near_duplicate, low_novelty; null: kept.
 
-    Of equal or nearly equal cases the first by id stays; near duplicates are sought within a bucket of similar length by an exact
-    prefix-filter join on distinct shingle sets."""
+    Of equal or nearly equal cases the first by id stays; near duplicates are sought by an exact prefix-filter join on distinct shingle
+    sets."""
     from ..functions.text import char_shingles
     from .dedupe import near_duplicates
 

@@ -36,7 +36,12 @@ def test_parsers(spark):
 def test_statistics():
     assert stats.mcnemar(0, 0) == 1 and abs(stats.mcnemar(1, 8) - 0.0390625) < 1e-9
     assert abs(stats.norm_ppf(0.975) - 1.959964) < 1e-5 and abs(stats.norm_cdf(stats.norm_ppf(0.2)) - 0.2) < 1e-9
-    assert stats.sample_size(0.80, 0.82) in range(6036, 6043)
+    assert stats.sample_size(0.80, 0.82) == 6039 and stats.sample_size(0.80, 0.82, discordance=0.08) == 1568
+    for n, pairs in ((6039, None), (1568, 0.08)):
+        assert stats.achieved_power(n, 0.8, 0.82, pairs) >= 0.8 > stats.achieved_power(n - 1, 0.8, 0.82, pairs)
+    assert abs(stats.detectable_rate(6039, 0.8) - 0.02) < 1e-4 and abs(stats.independent_discordance(0.8, 0.82) - 0.308) < 1e-9
+    with pytest.raises(ValueError):
+        stats.sample_size(0.8, 0.8)
 
 
 def test_compare_and_leaderboard(spark):
@@ -147,6 +152,7 @@ def test_scrub_and_rubric(spark):
     text_, e, c, p = feedback.scrub_one("mail a.b@c.org card 4111 1111 1111 1111 call +44 207 946 0123 host 10.20.30.40")
     assert text_ == "mail [EMAIL] card [CARD] call [PHONE] host 10.20.30.40" and (e, c, p) == (1, 1, 1)
     assert feedback.scrub_one(None)[0] is None
+    assert feedback.scrub_one("<a_b-1@x.y.co.uk>, me@host, @you, 555-123-4567, (020) 7946 0123, v1.2.3.4, 1234567890123, id9876543210") == ("<[EMAIL]>, me@host, @you, [PHONE], [PHONE], v1.2.3.4, [PHONE], id9876543210", 1, 0, 2 + 1)
     df = spark.createDataFrame([("how to archive a project", ""), ("how to archive a project", "I can't help with that")], "p string, r string")
     assert [r[0] for r in df.select(feedback.rubric(F.col("p"), F.col("r"))).collect()] == [0.0, 0.5]
 
@@ -169,10 +175,20 @@ def test_logistic_recovers_weights(spark):
     x = rng.normal(size=(800, 2))
     y = (rng.random(800) < 1 / (1 + np.exp(-(0.3 + 1.5 * x[:, 0] - x[:, 1])))).astype(float)
     df = spark.createDataFrame([(float(a), float(b), float(c)) for (a, b), c in zip(x, y)], "a double, b double, y double")
-    assert np.allclose(judging.logistic(df, ["a", "b"], "y"), stats.fit_logistic(np.c_[np.ones(800), x], y, 1e-2), atol=1e-5)
+    w = np.asarray(judging.logistic(df, ["a", "b"], "y"))
+    z = np.c_[np.ones(800), x]
+    slope = z.T @ (1 / (1 + np.exp(-z @ w)) - y) + np.r_[0, 1e-2 * w[1:]]  # 0 at the optimum of the penalised likelihood
+    assert np.abs(slope).max() < 1e-4 and np.allclose(w, [0.3, 1.5, -1.0], atol=0.4)
 
 
 def test_covering_array_covers_all_pairs():
+    for sizes in ([5], [3, 3], [2] * 10, [4, 3, 2, 5, 2]):
+        rows = robustness.covering_array(sizes)
+        for i in range(len(sizes)):
+            assert all(0 <= r[i] < sizes[i] for r in rows)
+            for j in range(i):
+                assert len({(r[i], r[j]) for r in rows}) == sizes[i] * sizes[j]
+    assert len(robustness.covering_array([2] * 10)) <= 14
     rows = robustness.covering_array([3, 2, 4, 2])
     for i in range(4):
         for j in range(i):
