@@ -102,7 +102,14 @@ def stable_ids(spark, d):
     return table(spark, d, "customer").select("c_custkey", stable_hex(F.lit("v1"), F.col("c_name"), F.col("c_mktsegment")).alias("h"))
 
 
+def scored_answers(spark, d):
+    """Refusals and lengths of the answers of each model."""
+    r = D.score_records(table(spark, d, "feedback_day1"), "response")
+    return r.groupBy(F.coalesce("model", F.lit("(none)")).alias("model"), D.length_bin(F.col("chars")).alias("bin")).agg(F.count("*").alias("n"), F.count_if("refused").alias("n_refused"))
+
+
 QUERIES = {
+    "drift_scored_answers": scored_answers,
     "drift_hash_sample": sampled, "drift_hash_sample_capped": capped, "shadow_sample": shadow_keys, "drift_daily_metrics": daily, "drift_length_histogram": histogram, "drift_event_mix": event_mix, "drift_zscore": z, "drift_cusum": cusum,
     "drift_alerts": store_alerts, "drift_alerts_feedback": feedback_alerts, "drift_psi": mix_psi, "drift_report": drift_report, "drift_rolling_mean": rolling_mean, "drift_missing_days": missing_days, "stable_hash": stable_ids,
 }
@@ -128,8 +135,8 @@ SQL = {
         select distinct request_id, "key" from k where ('0x' || substr(sha256('shadow' || chr(31) || "key"), 1, 16))::ubigint % 1000000 < 50000""",
     "drift_daily_metrics": _DM + """ select "date", n, round(refusal_rate, 6) refusal_rate, round(empty_rate, 6) empty_rate, round(answer_chars_mean, 6) answer_chars_mean, round(tool_error_rate, 6) tool_error_rate, round(tool_calls_mean, 6) tool_calls_mean,
         round(latency_p50, 6) latency_p50, round(latency_p95, 6) latency_p95, round(cost_usd_mean, 6) cost_usd_mean, round(judge_score, 6) judge_score from dm""",
-    "drift_length_histogram": _T + """, g as (select distinct "date", l label from t, unnest(['empty', '1-49', '50-199', '200-499', '500-999', '1000-1999', '2000+']) x(l)),
-        n as (select "date", case when chars < 1 then 'empty' when chars < 50 then '1-49' when chars < 200 then '50-199' when chars < 500 then '200-499' when chars < 1000 then '500-999' when chars < 2000 then '1000-1999' else '2000+' end label, count(*) n from t group by all)
+    "drift_length_histogram": _T + """, g as (select distinct "date", l label from t, unnest(['empty', '1-99', '100-249', '250-499', '500-999', '1000-1999', '2000+']) x(l)),
+        n as (select "date", case when chars < 1 then 'empty' when chars < 100 then '1-99' when chars < 250 then '100-249' when chars < 500 then '250-499' when chars < 1000 then '500-999' when chars < 2000 then '1000-1999' else '2000+' end label, count(*) n from t group by all)
         select "date", label, coalesce(n, 0) n from g left join n using ("date", label)""",
     "drift_event_mix": _T + """ select "date", event_type, count(*) n from t group by all""",
     "drift_zscore": _S + _B + """ select metric, "date", n_base, round(mu, 6) mu, round(sd, 6) sd, round(z, 4) z from z""",
@@ -148,3 +155,8 @@ SQL = {
         select metric, "date"::varchar as "date" from g anti join x using (metric, "date")""",
     "stable_hash": """select c_custkey, substr(sha256('v1' || chr(31) || c_name || chr(31) || c_mktsegment), 1, 16) h from customer""",
 }
+
+SQL["drift_scored_answers"] = f"""
+    select coalesce(model, '(none)') model, case when c < 1 then 'empty' when c < 100 then '1-99' when c < 250 then '100-249' when c < 500 then '250-499' when c < 1000 then '500-999' when c < 2000 then '1000-1999' else '2000+' end bin,
+           count(*) n, count_if(r)::bigint n_refused
+    from (select model, length(trim(coalesce(response, ''), ' ')) c, regexp_matches(coalesce(response, ''), '{D.REFUSAL.replace("'", "''")}') r from feedback_day1) group by all"""

@@ -15,8 +15,10 @@ from ..functions.hashing import in_sample, stable_hex
 DIRECTION = {"refusal_rate": 1, "empty_rate": 1, "answer_chars_mean": -1, "tool_error_rate": 1, "latency_p50": 1, "latency_p95": 1, "cost_usd_mean": 1, "judge_score": -1}
 RATES = ("refusal_rate", "empty_rate", "tool_error_rate")
 #: Upper ends of the length bins (fixed values).
-LENGTH_BINS = ((1, "empty"), (50, "1-49"), (200, "50-199"), (500, "200-499"), (1000, "500-999"), (2000, "1000-1999"))
-REFUSAL = r"(?i)\b(i(?:'m| am) (?:sorry|unable)|i can(?:'t|not)|as an ai)\b"
+LENGTH_BINS = ((1, "empty"), (100, "1-99"), (250, "100-249"), (500, "250-499"), (1000, "500-999"), (2000, "1000-1999"))
+#: Phrases of a refusal, on word borders and without case (fixed values).
+REFUSALS = ("i'm sorry", "im sorry", "i cannot help", "i can't help", "i am unable", "i'm unable", "im unable", "cannot assist", "not able to help", "not able to assist", "as an ai")
+REFUSAL = r"(?i)\b(?:" + "|".join(REFUSALS) + r")\b"
 
 
 @dataclass(frozen=True)
@@ -58,6 +60,17 @@ def length_bin(chars: Column) -> Column:
     return out.otherwise("2000+")
 
 
+def score_records(records: DataFrame, output: str = "output", calls: str | None = None) -> DataFrame:
+    """Adds refused and chars (of the trimmed text; null counts as empty) and, where ``calls`` names an array of structs with ``error``,
+    tool_calls and tool_errors (0 for null arrays): what ``daily_metrics`` needs of raw records."""
+    text = F.coalesce(F.col(output), F.lit(""))
+    out = records.withColumns({"refused": text.rlike(REFUSAL), "chars": F.length(F.trim(text))})
+    if calls is not None:
+        own = F.coalesce(F.col(calls), F.array())
+        out = out.withColumns({"tool_calls": F.size(own), "tool_errors": F.size(F.filter(own, lambda c: F.coalesce(c["error"].cast("string"), F.lit("")) != ""))})
+    return out
+
+
 def daily_metrics(traffic: DataFrame, min_samples: int = 20) -> DataFrame:
     """(date, n, metrics ...) from columns refused, chars, tool_calls, tool_errors, latency, cost, judge.
 

@@ -21,13 +21,15 @@ def scan_and_clean(docs: DataFrame, items: DataFrame, cfg: contamination.ScanCon
 
 
 def backfill(traffic: DataFrame, store: MetricStore, rate: float = 1.0, cap: int | None = None, cfg: drift.DetectorConfig = drift.DetectorConfig()) -> None:
-    """Samples, aggregates and stores every day, then stores alerts with feedback of critical days."""
+    """Samples, aggregates and stores every day, then stores alerts with feedback of critical days.
+
+    Feedback is per kind of metric: a critical day of one leaves the baselines of that one, and each is folded by itself."""
     sample = drift.hash_sample(traffic, "request_id", rate, cap=cap)
     daily = cut_lineage(drift.daily_metrics(sample))
     store.save("runs", daily.select("date", F.col("n").alias("sampled")))
     series = drift.long_metrics(daily, [c for c in daily.columns if c in cfg.directions])
     store.save("metrics", series)
-    store.save("alerts", drift.alerts_with_feedback(series.withColumn("store", F.lit("all")), cfg).drop("store"))
+    store.save("alerts", drift.alerts_with_feedback(series.withColumn("store", F.element_at(F.split("metric", "/"), 1)), cfg).drop("store"))
 
 
 def preference_data(raw: DataFrame, golden: DataFrame | None = None, near: float = 0.85) -> DataFrame:
