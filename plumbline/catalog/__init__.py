@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("measurements", "contamination", "traffic", "evaluations", "preference", "judges", "agents", "sources")
+MODULES = ("measurements", "contamination", "traffic", "evaluations", "preference", "judges", "agents", "sources", "reports")
 
 
 def core_queries() -> dict:

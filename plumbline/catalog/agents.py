@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions.hashing import unit
 from ..operators import memory as M
+from ..operators import neighbours as N
 from ..operators import replay as Y
 from ..operators import retrieval as Q
 from ..operators import robustness as B
@@ -154,18 +155,8 @@ def normalised(spark, d):
 
 def nearest(spark, d):
     """The five nearest vectors by cosine of every vector whose id is divisible by 50."""
-    from pyspark.sql import Window
-
     e = table(spark, d, "embeddings")
-    v = F.transform("embedding", lambda x: x.cast("double"))
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
-    e = e.select("vec_id", v.alias("v")).withColumn("v", F.transform("v", lambda x: x / norm))
-    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("q"), F.col("v").alias("qv"))
-    from ..plans.sizes import small
-
-    cos = F.aggregate(F.zip_with("v", "qv", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    c = e.join(small(q), F.col("vec_id") != F.col("q")).select("q", "vec_id", F.round(cos, 6).alias("cosine"))
-    return c.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("cosine"), "vec_id"))).where("rank <= 5")
+    return N.nearest(e, e.where("vec_id % 50 = 0")).select(F.col("query").alias("q"), "vec_id", "cosine", "rank")
 
 
 def _cases(spark, d):

@@ -103,3 +103,8 @@ def approx_tokens(text: Column) -> Column:
 
 def whitespace_count(text: Column) -> Column:
     return F.size(F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda t: t != ""))
+
+
+def canonical_json(pairs: Column) -> Column:
+    """A map as JSON with its keys in order; null gives null."""
+    return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(pairs))))

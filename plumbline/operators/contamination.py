@@ -564,6 +564,36 @@ def grade_items(items: DataFrame, matches: DataFrame, others: DataFrame | None =
     )
 
 
+def leak_documents(items: DataFrame, key: str = "id", question: str = "question", answer: str = "answer") -> DataFrame:
+    """(doc_id, item_id, kind, text): made leaks of every item to measure detectors by. verbatim; light_edit (every ninth word left out);
+    half (the first half of the words); answer_only (where there is an answer); reordered (halves exchanged)."""
+    w = F.filter(F.split(F.trim(F.coalesce(question, F.lit(""))), r"\s+"), lambda x: x != "")
+    half = F.floor((F.size("w") + 1) / 2).cast("int")
+    text = lambda words: F.concat(F.lit("Seen today: "), F.array_join(words, " "), F.lit(" That was all."))
+    first, second = F.slice("w", 1, half), F.slice("w", half + 1, F.size("w"))
+    kinds = {"verbatim": text(F.col("w")), "light_edit": text(F.filter("w", lambda x, k: (k + 1) % 9 != 0)), "half": text(first), "reordered": text(F.concat(second, first)), "answer_only": F.when(F.length(F.trim(answer)) > 0, F.concat(F.lit("Seen today: "), F.col(answer)))}
+    rows = items.select(F.col(key).alias("item_id"), w.alias("w"), F.col(answer).alias(answer)).where(F.size("w") > 0)
+    rows = rows.select("item_id", F.explode(F.create_map(*[x for k, c in kinds.items() for x in (F.lit(k), c)])).alias("kind", "text")).where("text is not null")
+    return rows.select(F.concat("item_id", F.lit("/"), "kind").alias("doc_id"), "item_id", "kind", "text")
+
+
+def detector_recall(leaks: DataFrame, evidence: DataFrame, cfg: ScanConfig = ScanConfig()) -> DataFrame:
+    """(kind, n, ngram, minhash, embedding, any, cosine_min, cosine_median, cosine_max): how many of the made leaks of each kind are found on
+    their own document by each detector."""
+    own = leaks.join(evidence, ["doc_id", "item_id"], "left")
+    hit = {"ngram": F.coalesce(F.col("overlap") > 0, F.lit(False)), "minhash": F.coalesce(F.col("containment") >= cfg.containment_suspicious, F.lit(False)), "embedding": F.coalesce(F.col("cosine") >= cfg.cosine_suspicious, F.lit(False))}
+    either = hit["ngram"] | hit["minhash"] | hit["embedding"]
+    cos = F.coalesce("cosine", F.lit(0.0))
+    return own.groupBy("kind").agg(F.count("*").alias("n"), *[F.round(F.avg(c.cast("double")), 6).alias(k) for k, c in {**hit, "any": either}.items()], F.min(cos).alias("cosine_min"), F.round(F.percentile_approx(cos, 0.5, 10_000), 5).alias("cosine_median"), F.max(cos).alias("cosine_max"))
+
+
+def flagged(grades: DataFrame, limit: int = 200) -> DataFrame:
+    """The worst items of a report first: by status, overlap, containment, cosine; at most ``limit``."""
+    order = F.when(F.col("status") == "contaminated", 0).when(F.col("status") == "suspicious", 1).otherwise(2)
+    none = lambda c: F.desc(F.coalesce(F.col(c), F.lit(0.0)))
+    return grades.where("status <> 'clean'").orderBy(order, none("overlap"), none("containment"), none("cosine"), "item_id").limit(limit)
+
+
 def decontaminate(docs: DataFrame, levels: DataFrame, drop: bool = True) -> DataFrame:
     """Without contaminated documents, or all documents with their level and items."""
     if drop:

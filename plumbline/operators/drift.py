@@ -61,13 +61,13 @@ def length_bin(chars: Column) -> Column:
 
 
 def score_records(records: DataFrame, output: str = "output", calls: str | None = None) -> DataFrame:
-    """Adds refused and chars (of the trimmed text; null counts as empty) and, where ``calls`` names an array of structs with ``error``,
-    tool_calls and tool_errors (0 for null arrays): what ``daily_metrics`` needs of raw records."""
+    """Adds refused and chars (of the trimmed text; null counts as empty) and, where ``calls`` names an array of structs with ``ok``,
+    tool_calls and tool_errors (calls whose ``ok`` is false; null counts as true; a null array is empty): what ``daily_metrics`` needs of raw records."""
     text = F.coalesce(F.col(output), F.lit(""))
     out = records.withColumns({"refused": text.rlike(REFUSAL), "chars": F.length(F.trim(text))})
     if calls is not None:
         own = F.coalesce(F.col(calls), F.array())
-        out = out.withColumns({"tool_calls": F.size(own), "tool_errors": F.size(F.filter(own, lambda c: F.coalesce(c["error"].cast("string"), F.lit("")) != ""))})
+        out = out.withColumns({"tool_calls": F.size(own), "tool_errors": F.size(F.filter(own, lambda c: ~F.coalesce(c["ok"], F.lit(True))))})
     return out
 
 

@@ -25,10 +25,10 @@ def suffix_window(turns: DataFrame, budget: int, system_tokens: int = 0, keep_la
 
 
 def facts(turns: DataFrame, by: str = "conversation_id", pos: str = "pos", line: str = "line") -> DataFrame:
-    """(by, attribute, value, last_pos): the latest value stated for every attribute."""
+    """(by, attribute, value, last_pos): the latest value stated for every attribute; of several at one place the last in order of text."""
     a, v = (F.regexp_extract_all(F.col(line), F.lit(FACT), F.lit(k)) for k in (1, 2))
     x = turns.select(by, pos, F.posexplode(F.arrays_zip(a.alias("a"), v.alias("v"))).alias("k", "f"))
-    return x.groupBy(by, F.lower("f.a").alias("attribute")).agg(F.max_by(F.trim("f.v"), F.struct(pos, "k")).alias("value"), F.max(pos).alias("last_pos"))
+    return x.groupBy(by, F.lower("f.a").alias("attribute")).agg(F.max_by(F.trim("f.v"), F.struct(F.col(pos), F.col("k"), F.trim("f.v"))).alias("value"), F.max(pos).alias("last_pos"))
 
 
 def classify(answer: Column, current: Column, stale: Column) -> Column:
@@ -43,6 +43,20 @@ def recall(probes: DataFrame, by: list[str]) -> DataFrame:
     return probes.groupBy(*by).agg(F.count("*").alias("n"), c("correct").alias("recall"), c("stale").alias("stale_rate"), c("miss").alias("miss_rate"))
 
 
+def sweep(probes: DataFrame, by: list[str]) -> DataFrame:
+    """(by, probes, recall, stale_rate, miss_rate, pinned_recall, updated_recall, compliance, peak_tokens) as ratios of sums over the runs of a
+    grid; a ratio without probes is null.
+
+    Probes: outcome, pinned, updated, complied (null where nothing was asked), tokens."""
+    ratio = lambda a, b: F.round(F.try_divide(F.count_if(a), F.count_if(b)), 6)
+    right = F.col("outcome") == "correct"
+    is_ = lambda c: F.coalesce(F.col(c), F.lit(False))
+    return probes.groupBy(*by).agg(
+        F.count("*").alias("probes"), ratio(right, F.lit(True)).alias("recall"), ratio(F.col("outcome") == "stale", F.lit(True)).alias("stale_rate"), ratio(F.col("outcome") == "miss", F.lit(True)).alias("miss_rate"),
+        ratio(right & is_("pinned"), is_("pinned")).alias("pinned_recall"), ratio(right & is_("updated"), is_("updated")).alias("updated_recall"), ratio(is_("complied"), F.col("complied").isNotNull()).alias("compliance"), F.max("tokens").alias("peak_tokens"),
+    )
+
+
 def retrieve(turns: DataFrame, queries: DataFrame, top_k: int = 6, budget: int = 400, dims: int = 1024, by: str = "conversation_id") -> DataFrame:
     """(by, query, lines): the most similar lines by hashed words and pairs, greedily within the budget, in their old order.
 

@@ -66,6 +66,37 @@ def score(cases: DataFrame) -> DataFrame:
     return x.withColumn("lie", answered & ~F.col("correct") & ~F.col("malformed")).drop("_a", "_g")
 
 
+def rescore(cases: DataFrame, saved: DataFrame) -> DataFrame:
+    """``score`` of saved replies (case_id, response) on their cases; cases without a reply are left out."""
+    return score(cases.drop("response").join(saved.select("case_id", "response"), "case_id"))
+
+
+def repeats(cases: DataFrame, n: int) -> DataFrame:
+    """Every case ``n`` times, numbered from 0 in ``rep``."""
+    return cases.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+
+
+def answered(cases: DataFrame, grounded: bool = True, cover: float = 0.5, question: str = "question") -> DataFrame:
+    """Adds ``response``: the sentence of the documents that shares most stems with the question, with its citation; of equal ones the
+    first. ``grounded``: below a share of ``cover`` of the question's stems the answer is an abstention; where sentences of several
+    documents cover equally much and state different numbers, superseded ones aside, it is a conflict.
+
+    Cases: case_id, question, docs (array of struct id, text); a case's documents are one row, so nothing is shuffled."""
+    asked = F.array_distinct(stems(F.col(question)))
+    sentence = lambda d: F.transform(F.filter(F.split(d.text, r"(?<=[.!?])\s+|\n"), lambda s: s.rlike("[A-Za-z0-9]")), lambda s: F.struct(F.size(F.array_intersect(F.col("_q"), stems(s))).alias("n"), d.id.alias("id"), s.alias("s"), F.lower(d.text).rlike("superseded|outdated").alias("old")))
+    x = cases.withColumn("_q", asked).withColumn("_s", F.flatten(F.transform(F.coalesce("docs", F.array().cast(cases.schema["docs"].dataType)), sentence)))
+    x = x.withColumn("_m", F.coalesce(F.array_max(F.transform("_s", lambda t: t.n)), F.lit(0)))
+    x = x.withColumn("_b", F.filter("_s", lambda t: t.n == F.col("_m")))
+    current = F.filter("_b", lambda t: ~t.old)
+    values = F.array_distinct(F.filter(F.transform(current, lambda t: F.array_join(F.regexp_extract_all(t.s, F.lit("[0-9]+(?:[.][0-9]+)?"), F.lit(0)), " ")), lambda v: v != ""))
+    one = F.coalesce(F.try_element_at(current, F.lit(1)), F.try_element_at(F.col("_b"), F.lit(1)))
+    cited = F.concat(one.s, F.lit(" ["), one.id, F.lit("]"))
+    reply = F.when(F.col("_m") == 0, ABSTAIN).otherwise(cited)
+    if grounded:
+        reply = F.when(F.col("_m") < cover * F.size("_q"), ABSTAIN).when(F.size(values) > 1, CONFLICT).otherwise(reply)
+    return x.withColumn("response", reply).drop("_q", "_s", "_m", "_b")
+
+
 def metrics(scored: DataFrame) -> DataFrame:
     """Rates overall and per perturbation in one pass of grouping sets; a rate without cases is null."""
     c = lambda x: F.count_if(x)
@@ -90,6 +121,46 @@ def shuffled(docs: Column, salt: Column) -> Column:
     return F.transform(F.array_sort(F.transform(docs, lambda d: F.struct(stable_hex(salt, d.id).alias("h"), d.alias("d")))), lambda x: x.d)
 
 
+def alt_answer(gold: Column, peer: Column) -> Column:
+    """Another value of the kind of ``gold``: its first number one higher, else a peer's answer."""
+    n = F.regexp_extract(gold, "[0-9]+", 0)
+    return F.when(n != "", F.concat(F.split_part(gold, n, F.lit(1)), (n.try_cast("long") + 1).cast("string"), F.substring(gold, F.instr(gold, n) + F.length(n), F.length(gold)))).otherwise(peer)
+
+
+def with_distractors(docs: Column, others: Column, salt: Column) -> Column:
+    """Documents of other topics are mixed in."""
+    return shuffled(F.concat(docs, others), salt)
+
+
+def _changed(docs: Column, supporting: Column, gold: Column, other: Column, suffix: str, before: str) -> Column:
+    """Copies of the supporting documents that state another value."""
+    support = F.filter(docs, lambda d: F.array_contains(supporting, d.id))
+    return F.transform(support, lambda d: F.struct(F.concat(d.id, F.lit(suffix)).alias("id"), F.concat(F.lit(before), F.replace(d.text, gold, other)).alias("text")))
+
+
+def contradicted(docs: Column, supporting: Column, gold: Column, other: Column) -> Column:
+    return F.concat(docs, _changed(docs, supporting, gold, other, "-b", ""))
+
+
+def with_stale(docs: Column, supporting: Column, gold: Column, other: Column) -> Column:
+    return F.concat(_changed(docs, supporting, gold, other, "-old", "Superseded edition of last year. "), docs)
+
+
+def renamed(docs: Column, salt: Column) -> Column:
+    """Opaque ids D001, D002, ... in an order given by a hash."""
+    return F.transform(shuffled(docs, salt), lambda d, k: F.struct(F.concat(F.lit("D"), F.lpad((k + 1).cast("string"), 3, "0")).alias("id"), d.text.alias("text")))
+
+
+def with_entity(docs: Column, supporting: Column, name: Column, near: Column) -> Column:
+    """Supporting documents speak of a similar name."""
+    return F.transform(docs, lambda d: F.when(F.array_contains(supporting, d.id), F.struct(d.id.alias("id"), F.replace(d.text, name, near).alias("text"))).otherwise(F.struct(d.id.alias("id"), d.text.alias("text"))))
+
+
+def without_gold(docs: Column, supporting: Column, gold: Column) -> Column:
+    """Without supporting documents and any other that states the value."""
+    return F.filter(without_support(docs, supporting), lambda d: ~F.contains(F.lower(d.text), F.lower(gold)))
+
+
 def without_support(docs: Column, supporting: Column) -> Column:
     return F.filter(docs, lambda d: ~F.array_contains(supporting, d.id))
 

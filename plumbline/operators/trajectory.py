@@ -107,3 +107,10 @@ def grade_runs(graded: DataFrame, spec: Spec) -> DataFrame:
 
 def issue_counts(graded: DataFrame) -> DataFrame:
     return graded.select(F.explode(F.concat("hard", "soft")).alias("code")).groupBy("code").agg(F.count("*").alias("n"))
+
+
+def run_costs(steps: DataFrame, cost: str = "cost_usd", latency: str = "latency_s") -> DataFrame:
+    """(task_id, steps, cost_usd, latency_s): totals of a run's steps; null costs and latencies count as 0. Costs are added up in
+    millionths, so the sum does not depend on its order."""
+    exact = lambda c: F.sum(F.coalesce(F.round(F.col(c).cast("decimal(28,12)"), 6), F.lit(0))).cast("double")
+    return steps.groupBy("task_id").agg(F.count("*").alias("steps"), exact(cost).alias("cost_usd"), exact(latency).alias("latency_s"))
