@@ -81,6 +81,16 @@ def compared(spark, d):
     return spark.createDataFrame([tuple(asdict(c).values())], "model_a string, model_b string, n long, clusters int, difference double, ci_low double, ci_high double, p_value double, test string, detectable double, significant boolean")
 
 
+def unpaired(spark, d):
+    """Two models on different items: one on the even, one on the odd parts."""
+    from dataclasses import asdict
+
+    odd = F.col("item_id") % 2 == 1
+    x = scores(spark, d).where((odd & (F.col("model") == "A")) | (~odd & (F.col("model") == "R")))
+    c = S.compare(x, "A", "R", boots=1000)
+    return spark.createDataFrame([tuple(asdict(c).values())], "model_a string, model_b string, n long, clusters int, difference double, ci_low double, ci_high double, p_value double, test string, detectable double, significant boolean")
+
+
 def pairs_all(spark, d):
     return S.all_pairs(scores(spark, d)).select("model_a", "model_b", "n", R("mean_a"), R("mean_b"), R("diff"))
 
@@ -126,7 +136,7 @@ def gate_verdict(spark, d):
 
 QUERIES = {
     "frontier_config_stats": stats, "frontier_points": front, "frontier_router": router, "frontier_joint": lambda s, d: joint(s, d).select("tenant", "name", "on_frontier"), "frontier_best_router": best, "frontier_recommend": recommended, "frontier_router_pair": pair, "frontier_whatif": whatif,
-    "significance_pair_stats": pair_stats, "significance_cluster_sums": clusters, "significance_compare": compared, "significance_all_pairs": pairs_all, "significance_adjust": pvalues, "significance_leaderboard": lambda s, d: S.leaderboard(scores(s, d), boots=400),
+    "significance_pair_stats": pair_stats, "significance_cluster_sums": clusters, "significance_compare": compared, "significance_unpaired": unpaired, "significance_all_pairs": pairs_all, "significance_adjust": pvalues, "significance_leaderboard": lambda s, d: S.leaderboard(scores(s, d), boots=400),
     "significance_scores": lambda s, d: scores(s, d).select("model", "item_id", R("score"), "cluster"),
     "gate_summary": gate_summary, "gate_scorers": gate_scorers, "gate_changes": gate_changes, "gate_verdict": gate_verdict,
 }

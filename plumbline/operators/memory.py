@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -57,42 +56,43 @@ def sweep(probes: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
-def retrieve(turns: DataFrame, queries: DataFrame, top_k: int = 6, budget: int = 400, dims: int = 1024, by: str = "conversation_id") -> DataFrame:
-    """(by, query, lines): the most similar lines by hashed words and pairs, greedily within the budget, in their old order.
-
-    One conversation is one task: the state of a memory is sequential, conversations are independent."""
-
-    def vec(text: str) -> np.ndarray:
-        from zlib import crc32
-
-        ws = "".join(c if c.isalnum() else " " for c in text.lower()).split()
-        v = np.zeros(dims)
-        for f in ws + [f"{a} {b}" for a, b in zip(ws, ws[1:])]:
-            h = crc32(f.encode())
-            v[h % dims] += 1 if (h >> 16) % 2 else -1
-        n = np.linalg.norm(v)
-        return v / n if n else v
-
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        left = left.sort_values("pos")
-        lines = left["line"].tolist()
-        m = np.stack([vec(x) for x in lines]) if lines else np.zeros((0, dims))
-        for key, q in zip(right[by], right["query"]):
-            s = m @ vec(q) if lines else np.zeros(0)
-            picked, used = [], 0
-            for k in sorted(range(len(lines)), key=lambda k: (-s[k], k))[:top_k]:
-                t = len(lines[k].split())
-                if s[k] > 0 and used + t <= budget:
-                    picked.append(k)
-                    used += t
-            out.append((key, q, [lines[k] for k in sorted(picked)]))
-        return pd.DataFrame(out, columns=[by, "query", "lines"])
-
-    return turns.select(by, "pos", "line").groupBy(by).cogroup(queries.select(by, "query").groupBy(by)).applyInPandas(run, f"{by} string, query string, lines array<string>")
+def _hashed(text: str | None, dims: int) -> np.ndarray:
+    """Unit vector of hashed words and word pairs."""
+    from zlib import crc32
 
+    ws = "".join(c if c.isalnum() else " " for c in (text or "").lower()).split()
+    v = np.zeros(dims)
+    for f in ws + [f"{a} {b}" for a, b in zip(ws, ws[1:])]:
+        h = crc32(f.encode("utf-8", "surrogatepass"))
+        v[h % dims] += 1 if (h >> 16) % 2 else -1
+    n = np.linalg.norm(v)
+    return v / n if n else v
 
 
+def retrieve(turns: DataFrame, queries: DataFrame, top_k: int = 6, budget: int = 400, dims: int = 1024, by: str = "conversation_id") -> DataFrame:
+    """(by, query, lines): the most similar lines by hashed words and pairs, greedily within the budget, in their old order. A query without
+    any similar line has [].
+
+    Lines are scored where they lie; the best ``top_k`` are kept per part of a conversation first, then per conversation, so a
+    conversation of any length is many tasks and only ``top_k`` lines of it come together."""
+
+    @F.pandas_udf("double")
+    def similarity(lines: pd.Series, asked: pd.Series) -> pd.Series:
+        known: dict[str, np.ndarray] = {}
+        vec = lambda t: known[t] if t in known else known.setdefault(t, _hashed(t, dims))
+        return pd.Series([float(np.round(vec(a) @ vec(b), 12)) for a, b in zip(lines, asked)], dtype=float)
+
+    q = queries.select(by, "query").distinct()
+    x = turns.select(by, "pos", "line").join(q, by).withColumn("s", similarity("line", "query")).where("s > 0").withColumn("part", F.pmod(F.xxhash64("pos", "line"), F.lit(64)))
+    for keys in ([by, "query", "part"], [by, "query"]):
+        x = x.withColumn("_i", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("s"), "pos", "line"))).where(F.col("_i") <= top_k)
+    size = whitespace_count(F.col("line"))
+    best = x.groupBy(by, "query").agg(F.array_sort(F.collect_list(F.struct((-F.col("s")).alias("s"), "pos", "line", size.alias("n")))).alias("best"))
+    start = F.struct(F.lit(0).alias("used"), F.array().cast("array<struct<pos:bigint,line:string>>").alias("kept"))
+    take = lambda a, t: F.when(a.used + t.n <= budget, F.struct((a.used + t.n).alias("used"), F.concat(a.kept, F.array(F.struct(t.pos.cast("long").alias("pos"), t.line.alias("line")))).alias("kept"))).otherwise(a)
+    got = best.select(by, "query", F.transform(F.array_sort(F.aggregate("best", start, take).kept), lambda t: t.line).alias("lines"))
+    return q.join(got, [by, "query"], "left").select(by, "query", F.coalesce("lines", F.array().cast("array<string>")).alias("lines"))
+
 
 def summary(turns: DataFrame, by: str = "conversation_id", pos: str = "pos", line: str = "line", budget: int = 400) -> DataFrame:
     """(by, summary): facts with their latest values in order of last mention; the oldest leave first when it is too long."""

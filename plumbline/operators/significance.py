@@ -185,6 +185,47 @@ def all_pairs(scores: DataFrame) -> DataFrame:
     return j.groupBy("model_a", "model_b").agg(F.count("*").alias("n"), F.first("mean_a").alias("mean_a"), F.first("mean_b").alias("mean_b"), F.avg(F.col("sb") - F.col("sa")).alias("diff"))
 
 
+def compare_all(scores: DataFrame, ranked: list[str], boots: int = 1000, confidence: float = 0.95, seed: int = 0) -> list[Comparison]:
+    """``compare`` of every pair of models, the better ranked one first, in one job: one join on items, sums per pair and cluster, and
+    each pair resampled in a task of its own. Pairs that share fewer than two items are compared one by one."""
+    spark = scores.sparkSession
+    place = F.create_map(*[x for k, m in enumerate(ranked) for x in (F.lit(m), F.lit(k))])
+    x = scores.where(F.col("model").isin(*ranked)).withColumn("place", F.element_at(place, F.col("model")))
+    side = lambda t: x.select("item_id", F.col("place").alias(f"p{t}"), F.col("score").alias(f"s{t}"), F.col("cluster").alias(f"c{t}"))
+    own = F.concat(F.lit("__item_"), F.col("item_id").cast("string"))
+    j = side("a").join(side("b"), "item_id").where("pa < pb").select("pa", "pb", "sa", "sb", (F.col("sb") - F.col("sa")).alias("diff"), F.coalesce("ca", "cb", own).alias("cluster"))
+    per = j.groupBy("pa", "pb", "cluster").agg(F.sum("diff").alias("s"), F.count("*").alias("n"), F.sum(F.col("diff") * F.col("diff")).alias("q"), F.bool_and(F.expr("sa in (0, 1) and sb in (0, 1)")).alias("binary"), F.count_if(F.col("diff") > 0).alias("up"), F.count_if(F.col("diff") < 0).alias("down"))
+    alpha = 1 - confidence
+
+    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        if len(pdf) > MOST_CLUSTERS:
+            raise ValueError(f"more than {MOST_CLUSTERS} clusters; pass coarser ones")
+        pdf = pdf.sort_values("cluster")
+        s, n = np.round(pdf["s"].to_numpy(float), 12), pdf["n"].to_numpy(float)
+        total, k = int(n.sum()), len(s)
+        d = round(float(pdf["s"].sum() / total), 12)
+        sd = round(math.sqrt(max(0.0, float(pdf["q"].sum()) - total * d * d) / max(1, total - 1)), 12)
+        values = np.empty(boots)
+        for r in range(boots):
+            w = np.bincount(np.random.default_rng((seed, r)).integers(0, k, k), minlength=k)
+            values[r] = w @ s / (w @ n)
+        low, high = bca(values, d, s, n, confidence)
+        seen = abs(s.sum())
+        if bool(pdf["binary"].all()) and bool(pdf["cluster"].str.startswith("__item_").all()):
+            p, test = mcnemar(int(pdf["up"].sum()), int(pdf["down"].sum())), "mcnemar"
+        else:
+            flips = [abs(float((np.random.default_rng((seed + 1, r)).integers(0, 2, k) * 2 - 1) @ s)) for r in range(boots)] if seen else []
+            p, test = (float((sum(v >= seen - 1e-12 for v in flips) + 1) / (boots + 1)) if seen else 1.0), "permutation"
+        deff = float(values.std(ddof=1) * math.sqrt(total) / sd) if sd else 1.0
+        row = (int(key[0]), int(key[1]), total, k, d, low, high, p, test, float(detectable(total, sd, deff, alpha)) if total > 1 else math.inf, bool(p < alpha and (low > 0 or high < 0)))
+        return pd.DataFrame([row], columns=["pa", "pb", "n", "clusters", "difference", "ci_low", "ci_high", "p_value", "test", "detectable", "significant"])
+
+    rows = per.groupBy("pa", "pb").applyInPandas(one, "pa int, pb int, n long, clusters int, difference double, ci_low double, ci_high double, p_value double, test string, detectable double, significant boolean").collect()
+    done = {(r.pa, r.pb): Comparison(ranked[r.pa], ranked[r.pb], *list(r)[2:]) for r in rows if r.n > 1}
+    pairs = [(a, b) for a in range(len(ranked)) for b in range(a + 1, len(ranked))]
+    return [done.get(k) or _unpaired(scores, ranked[k[0]], ranked[k[1]], boots, confidence, seed) for k in pairs]
+
+
 def leaderboard(scores: DataFrame, boots: int = 1000, confidence: float = 0.95, method: str = "holm", seed: int = 0, most_models: int = 60) -> DataFrame:
     """(rank, model, mean, n, tier): a model starts a new tier when it is significantly worse than the leader of the current one."""
     spark = scores.sparkSession
@@ -193,7 +234,7 @@ def leaderboard(scores: DataFrame, boots: int = 1000, confidence: float = 0.95,
         rows = scores.groupBy("model").agg(F.avg("score").alias("mean"), F.count("*").alias("n")).orderBy(F.desc("mean"), "model").limit(most_models + 1).collect()
         if len(rows) > most_models:
             raise ValueError(f"more than {most_models} models")
-        done = [compare(scores, x.model, y.model, boots, confidence, seed) for k, x in enumerate(rows) for y in rows[k + 1 :]]
+        done = compare_all(scores, [x.model for x in rows], boots, confidence, seed)
     finally:
         scores.unpersist()
     from ..functions.stats import adjust

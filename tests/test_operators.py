@@ -75,6 +75,52 @@ def test_models_on_different_items_are_resampled(spark):
         significance.compare(s, "a", "none", boots=10)
 
 
+def test_leaderboard_in_one_job_equals_single_comparisons(spark):
+    rng = np.random.default_rng(4)
+    rows = [(m, k, float(rng.random() < p), f"c{k % 15}" if k % 3 else None) for m, p in (("x", 0.95), ("y", 0.5), ("z", 0.1)) for k in range(90)] + [("solo", 1000 + k, 0.1 * k, None) for k in range(6)]
+    s = spark.createDataFrame(rows, "model string, item_id int, score double, cluster string")
+    many = significance.compare_all(s, ["x", "y", "z", "solo"], boots=200)
+    for c in many:
+        one = significance.compare(s, c.model_a, c.model_b, boots=200)
+        assert (c.n, c.clusters, c.test, c.significant) == (one.n, one.clusters, one.test, one.significant)
+        assert np.allclose([c.difference, c.ci_low, c.ci_high, c.p_value, c.detectable], [one.difference, one.ci_low, one.ci_high, one.p_value, one.detectable], atol=1e-6)
+    assert [r.tier for r in significance.leaderboard(s.where("model <> 'solo'"), boots=200).orderBy("rank").collect()] == [1, 2, 3]
+
+
+def test_retrieval_equals_brute_force(spark):
+    from plumbline.operators import memory
+
+    rng = np.random.default_rng(6)
+    turns = [(f"c{k % 3}" if k < 60 else "hot", k, " ".join(f"w{x}" for x in rng.integers(0, 30, 8))) for k in range(400)] + [("null", 1, None)]
+    queries = [("c0", "w1 w2 w3"), ("hot", "w4 w5 w6 w7"), ("none", "w1"), ("null", "w1"), ("hot", "zzz")]
+    got = {(r.conversation_id, r.query): r.lines for r in memory.retrieve(spark.createDataFrame(turns, "conversation_id string, pos int, line string"), spark.createDataFrame(queries, "conversation_id string, query string"), 4, 20).collect()}
+    for c, q in queries:
+        own = sorted(((-round(float(memory._hashed(t, 1024) @ memory._hashed(q, 1024)), 12), p, t) for x, p, t in turns if x == c and t), key=lambda z: z)
+        own, used, kept = [z for z in own if z[0] < 0][:4], 0, []
+        for _, p, t in own:
+            if used + 8 <= 20:
+                used += 8
+                kept.append((p, t))
+        assert got[c, q] == [t for _, t in sorted(kept)]
+
+
+def test_nearest_equals_brute_force(spark, monkeypatch):
+    from plumbline.operators import neighbours
+
+    rng = np.random.default_rng(7)
+    v = np.round(rng.normal(size=(200, 6)), 1)
+    v[7] = v[8]
+    df = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)] + [(900, None), (901, [1.0])], "vec_id long, embedding array<double>")
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    for block in (neighbours.BLOCK, 24):
+        monkeypatch.setattr(neighbours, "BLOCK", block)
+        got = neighbours.nearest(df, df.where("vec_id % 40 = 0"), 3).collect()
+        for q in range(0, 200, 40):
+            want = sorted((-round(float(unit[k] @ unit[q]), 6), k) for k in range(200) if k != q)[:3]
+            assert [r.vec_id for r in sorted(got, key=lambda r: r["rank"]) if r.query == q] == [k for _, k in want]
+    assert neighbours.nearest(df, df.where("vec_id < 0")).count() == 0
+
+
 def test_gram_runs_do_not_join_separate_copies(spark):
     words = [f"w{k}" for k in range(26)]
     items = spark.createDataFrame([("q1", " ".join(words)), ("q2", "too short")], "id string, question string")
