@@ -8,9 +8,9 @@ words are there, and of its own words (those that few other passages have: names
 of it has SHARE of all its words there, and of the stretch's own words, there or replaced by others, at least OWN_STRETCH.
 The conditions on own words tell an item from one built alike on other names; those outside the stretch do not count.
 
-The evaluation side is small and its size is checked: up to ``broadcast_limit`` fingerprints are sent to the executors and
-documents are scanned in one pass without a shuffle. Beyond it fingerprints of both sides are joined by hash and the
-candidates meet their texts again by id."""
+The evaluation side is small and its size is checked: items of up to ``broadcast_limit`` words are sent to the executors and
+documents are scanned in one pass without a shuffle. More items are cut into blocks of that size, one scan each; which words are
+rare is counted over all items first. No join by fingerprint: items are built alike, so one hash can stand in very many."""
 
 from __future__ import annotations
 
@@ -27,8 +27,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType
 
+from ..session import cut_lineage
 from .textnorm import fold, visible
 
 K, WINDOW = 3, 2
@@ -234,70 +234,51 @@ class Index:
         return False
 
 
-def build(items: DataFrame, key: str, question: str, answer: str) -> Index:
-    rows = items.select(F.col(key).cast("string"), question, answer).where(F.col(key).isNotNull()).distinct().collect()
-    return Index(sorted(map(tuple, rows), key=repr))
-
-
 def leaks(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", text: str = "text", item_key: str = "id", question: str = "question", answer: str = "answer", broadcast_limit: int = 200_000) -> DataFrame:
     """Distinct (doc_id, item_id) such that the document leaks the item.
 
     Null and empty texts, items without words: no leaks. Repeated documents or items: one row. Empty tables: empty result."""
     docs = docs.select(F.col(doc_key).alias("doc_id"), F.col(text).alias("text")).where(F.length("text") > 0)
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id string"
+    items = items.select(F.col(item_key).cast("string").alias("item_id"), F.col(question).alias("q"), F.col(answer).alias("a")).where(F.col("item_id").isNotNull())
     # an upper bound of the fingerprints: the words of the passages
-    size = items.agg(F.sum(F.size(F.split(F.coalesce(question, F.lit("")), r"\s+")) + F.size(F.split(F.coalesce(answer, F.lit("")), r"\s+")))).first()[0] or 0
-    if size <= broadcast_limit:
-        shared = docs.sparkSession.sparkContext.broadcast(build(items, item_key, question, answer))
+    size = items.agg(F.sum(F.size(F.split(F.coalesce("q", F.lit("")), r"\s+")) + F.size(F.split(F.coalesce("a", F.lit("")), r"\s+")))).first()[0] or 0
+    parts = [_scan(docs, index, schema) for index in _indexes(items, ceil(size / max(50, broadcast_limit)))]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.distinct()
 
-        def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            index = shared.value
-            for pdf in batches:
-                keys, texts = pdf["doc_id"].tolist(), pdf["text"].tolist()
-                out: list[tuple] = []
-                for k in range(0, len(keys), 300):
-                    out += [(keys[k + d], i) for d, i in index.leaked([words(t) for t in texts[k : k + 300]])]
-                yield pd.DataFrame(out, columns=["doc_id", "item_id"])
 
-        return docs.mapInPandas(scan, schema).distinct()
-    return _leaks_joined(docs, items.select(F.col(item_key).cast("string").alias("item_id"), F.col(question).alias("q"), F.col(answer).alias("a")), schema)
+def _scan(docs: DataFrame, index: Index, schema: str) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast(index)
 
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = shared.value
+        for pdf in batches:
+            keys, texts = pdf["doc_id"].tolist(), pdf["text"].tolist()
+            out: list[tuple] = []
+            for k in range(0, len(keys), 300):
+                out += [(keys[k + d], i) for d, i in own.leaked([words(t) for t in texts[k : k + 300]])]
+            yield pd.DataFrame(out, columns=["doc_id", "item_id"])
 
-@F.pandas_udf(ArrayType(LongType()))
-def text_fingerprints(s: pd.Series) -> pd.Series:
-    lists = [words(t) if t else [] for t in s]
-    owner, _, code = fingerprints(lists)
-    out: list[list[int]] = [[] for _ in lists]
-    for o, c in zip(owner.tolist(), code.astype(np.int64).tolist()):
-        out[o].append(c)
-    return pd.Series([sorted(set(x)) for x in out], dtype=object)
+    return docs.mapInPandas(scan, schema)
 
 
-def _leaks_joined(docs: DataFrame, items: DataFrame, schema: str) -> DataFrame:
-    """The same by joins alone, for evaluation sides too large to send. Words of few items are found by counting."""
-    items = items.where(F.col("item_id").isNotNull()).distinct()
+def _indexes(items: DataFrame, blocks: int) -> Iterator[Index]:
+    """The items as one index, or as several of bounded size."""
+    if blocks <= 1:
+        yield Index(sorted(map(tuple, items.distinct().collect()), key=repr))
+        return
 
     @F.pandas_udf("array<string>")
     def word_set(s: pd.Series) -> pd.Series:
         return pd.Series([sorted(set(words(t))) if t else [] for t in s], dtype=object)
 
-    passages = items.select("item_id", F.col("q").alias("p")).unionByName(items.select("item_id", F.when(F.size(word_set("a")) > 0, F.col("a")).alias("p"))).where(F.length("p") > 0).withColumn("is_answer", F.lit(False))
-    spread = items.select("item_id", F.explode(F.array_union(word_set("q"), word_set("a"))).alias("w")).groupBy("w").agg(F.count("*").alias("n")).where(F.col("n") <= OWN_ITEMS)
-    item_words = items.select("item_id", F.explode(F.array_union(word_set("q"), word_set("a"))).alias("w"))
-    own = item_words.join(spread, "w").groupBy("item_id").agg(F.collect_set("w").alias("own"))
-    fp_i = passages.select("item_id", F.explode(text_fingerprints("p")).alias("h")).distinct()
-    fp_d = docs.select("doc_id", F.explode(text_fingerprints("text")).alias("h"))
-    pairs = fp_d.join(fp_i, "h").select("doc_id", "item_id").distinct()
-    full = pairs.join(docs.dropDuplicates(["doc_id", "text"]), "doc_id").join(items, "item_id").join(own, "item_id", "left")
-
-    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for d, t, i, q, a, mine in zip(pdf["doc_id"], pdf["text"], pdf["item_id"], pdf["q"], pdf["a"], pdf["own"]):
-                one = Index([(i, q, a)])
-                one.set_own(set(mine) if mine is not None else set())
-                if one.leaked([words(t)]):
-                    out.append((d, i))
-            yield pd.DataFrame(out, columns=["doc_id", "item_id"])
-
-    return full.mapInPandas(verify, schema).distinct()
+    items = cut_lineage(items.distinct().withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(blocks))))
+    has = cut_lineage(items.select("item_id", "block", F.explode(F.array_union(word_set("q"), word_set("a"))).alias("w")))
+    rare = cut_lineage(has.groupBy("w").agg(F.count("*").alias("n")).where(F.col("n") <= OWN_ITEMS).select("w"))
+    for b in range(blocks):
+        index = Index(sorted((tuple(r) for r in items.where(F.col("block") == b).select("item_id", "q", "a").collect()), key=repr))
+        index.set_own({r.w for r in has.where(F.col("block") == b).select("w").distinct().join(rare, "w", "left_semi").collect()})
+        yield index
