@@ -1,17 +1,21 @@
 """Implausible readings in measurement series, flagged per source against that source's own behaviour.
 
-Plan: one shuffle by (series, time block). A series, however long, is cut into blocks of ``block_days`` and
+Plan: readings are brought together by (series, time block). A series, however long, is cut into blocks of ``block_days`` and
 every block also gets the readings of ``halo_days`` on either side, so a series that holds a third of all
-rows is spread over many tasks and no window ever spans a whole series. Per-series quantile summaries are
-built with partial aggregation (``percentile_approx``: mergeable Greenwald-Khanna sketches), once over the
-whole series and once per day of the week, the cyclic context of daily data.
+rows is spread over many tasks and nothing ever spans a whole series. Levels, runs and deviations are worked out for all
+blocks of an Arrow batch at once. Per-series quantile summaries are built with partial aggregation (``percentile_approx``:
+mergeable Greenwald-Khanna sketches), once over the whole series and once per day of the week, the cyclic context of
+daily data.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.sizes import small
@@ -47,11 +51,68 @@ def clean_readings(df: DataFrame, metric: str = "metric", date: str = "date", va
     )
 
 
-def _median(values: Column, size: Column) -> Column:
-    ordered = F.array_sort(values)
-    low = F.element_at(ordered, F.greatest(((size + 1) / 2).cast("int"), F.lit(1)))
-    high = F.element_at(ordered, F.greatest((size / 2).cast("int") + 1, F.lit(1)))
-    return F.when(size > 0, (low + high) / 2)
+def _medians(rows: np.ndarray) -> np.ndarray:
+    """Of each row without its NaN; NaN for empty rows. Sorts ``rows`` in place."""
+    rows.sort(axis=1)  # NaN go last
+    n = (~np.isnan(rows)).sum(1)
+    at = np.arange(len(rows))
+    out = (rows[at, np.maximum(n - 1, 0) // 2] + rows[at, np.maximum(n, 1) // 2 * (n > 0)]) / 2
+    return np.where(n > 0, out, np.nan)
+
+
+def neighbourhoods(n: np.ndarray, v: np.ndarray, bad: np.ndarray, block: np.ndarray, cfg: SpikeConfig) -> dict[str, np.ndarray]:
+    """What each reading looks like beside others of its block; readings in order of block and day.
+
+    ``run``: length of its run of equal values; ``step``: 0 where it repeats the reading before; ``before``, ``after``, ``weekly``: medians of
+    the nearest good readings on either side and of those some weeks away on the same day; ``n_before``, ``n_after``: how many there are."""
+    reach, total = 7 * cfg.weeks, len(n)
+    same = np.r_[False, block[1:] == block[:-1]]
+    repeat = same & np.r_[False, (v[1:] == v[:-1]) & (n[1:] - n[:-1] <= cfg.halo_days)]
+    run = np.cumsum(~repeat) - 1
+    good = np.flatnonzero(~bad)
+    seen = np.cumsum(~bad) - ~bad  # good readings before each
+    out = {"run": np.bincount(run)[run] if total else run, "step": (~repeat).astype(np.int32)}
+    padded = np.append(good, 0)
+    for name, start, sign in (("before", seen - 1, -1), ("after", seen + ~bad, 1)):
+        values = np.full((total, cfg.neighbours), np.nan)
+        for k in range(cfg.neighbours):
+            at = start + sign * k
+            there = (at >= 0) & (at < len(good))
+            g = padded[np.where(there, at, len(good))]
+            there &= (block[g] == block) & (np.abs(n[g] - n) <= reach)
+            values[there, k] = v[g[there]]
+        out[f"n_{name}"] = (~np.isnan(values)).sum(1)
+        out[name] = _medians(values)
+    key = block.astype(np.int64) * (1 << 32) + n
+    known, values = key[good], np.full((total, 2 * cfg.weeks), np.nan)
+    for k, days in enumerate([7 * w for w in range(-cfg.weeks, cfg.weeks + 1) if w]):
+        at = np.searchsorted(known, key + days)
+        there = (at < len(known)) & (known[np.minimum(at, len(known) - 1)] == key + days) if len(known) else np.zeros(total, bool)
+        values[there, k] = v[good[at[there]]]
+    out["weekly"] = _medians(values)
+    return out
+
+
+def _local(batches: Iterator[pd.DataFrame], cfg: SpikeConfig) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        if not len(pdf):
+            continue
+        sizes = pdf["n"].map(len).to_numpy()
+        n, v, bad, here = (np.concatenate(pdf[c].to_numpy()) for c in ("n", "v", "bad", "here"))
+        n, v, bad, here = n.astype(np.int64), v.astype(float), bad.astype(bool), here.astype(bool)
+        x = neighbourhoods(n, v, bad, np.repeat(np.arange(len(pdf)), sizes), cfg)
+        with np.errstate(invalid="ignore"):
+            sides = np.stack([x["before"], x["after"]])
+            middle = np.where(np.isnan(sides).any(0), np.where(np.isnan(sides[0]), sides[1], sides[0]), (sides[0] + sides[1]) / 2)
+            level = np.abs(np.where(np.isnan(middle), v, middle))
+            # the deviation that no context explains: the smallest of those from the level before, after and on that weekday
+            off = v - np.stack([x["before"], x["after"], x["weekly"]])
+            low, high = np.where(np.isnan(off), -1e300, off).max(0), np.where(np.isnan(off), 1e300, off).min(0)
+            dev = np.where(low < 0, low, np.where(high > 0, high, 0.0))
+            dev[~((x["n_after"] >= 2) | ((x["n_after"] == 1) & (x["n_before"] >= 1)))] = np.nan
+            residual = np.where(bad, np.nan, (v - middle) / np.maximum(level, 1e-12))
+        metric = np.repeat(pdf["metric"].to_numpy(), sizes)
+        yield pd.DataFrame({"metric": metric, "n": n, "v": v, "bad": bad, "run_n": x["run"], "step": x["step"], "level": level, "dev": dev, "residual": residual})[here]
 
 
 def flag_spikes(df: DataFrame, cfg: SpikeConfig = SpikeConfig(), **names: str) -> DataFrame:
@@ -69,43 +130,16 @@ def flag_spikes(df: DataFrame, cfg: SpikeConfig = SpikeConfig(), **names: str) -
     homes = F.array_distinct(F.array(block, F.floor((n - c.halo_days) / c.block_days), F.floor((n + c.halo_days) / c.block_days)))
     spread = readings.select("metric", "day", "v", impossible.alias("bad"), n.alias("n"), block.alias("own"), F.explode(homes).alias("block"))
 
-    w = Window.partitionBy("metric", "block").orderBy("n")
-    near = lambda k: F.abs(F.lag("n", k).over(w) - F.col("n")) <= c.halo_days if k > 0 else F.abs(F.lead("n", -k).over(w) - F.col("n")) <= c.halo_days
-    good = F.when(~F.col("bad"), F.col("v"))
-    days, vals = F.collect_list(F.struct("n", "v", "bad")), w.rangeBetween(-7 * c.weeks, 7 * c.weeks)
-    around = days.over(vals)
-    # run lengths: a run ends where the value changes or the gap is too long
-    step = F.when((F.lag("v").over(w) == F.col("v")) & near(1), 0).otherwise(1)
-    runs = spread.withColumn("step", step).withColumn("run", F.sum("step").over(w)).withColumn("around", around)
-    wr = Window.partitionBy("metric", "block", "run")
-    local = runs.withColumn("run_n", F.count("*").over(wr)).where(F.col("own") == F.col("block"))
-
-    ok = F.filter("around", lambda x: ~x.bad)
-    pick = lambda cond: F.transform(F.filter("ok", cond), lambda x: x.v)
-    before = F.slice(F.reverse(pick(lambda x: x.n < F.col("n"))), 1, c.neighbours)
-    after_all = F.filter("ok", lambda x: x.n > F.col("n"))
-    after = F.slice(F.transform(after_all, lambda x: x.v), 1, c.neighbours)
-    week = pick(lambda x: (x.n != F.col("n")) & ((x.n - F.col("n")) % 7 == 0))
-    local = (
-        local.withColumn("ok", ok)
-        .select("metric", "day", "n", "v", "bad", "run_n", "step", before.alias("b"), after.alias("a"), week.alias("w"))
-        .select("*", _median(F.col("b"), F.size("b")).alias("mb"), _median(F.col("a"), F.size("a")).alias("ma"), _median(F.col("w"), F.size("w")).alias("mw"), (F.size("b") + F.size("a")).alias("n_near"))
-    )
-    # the deviation that no context explains: the smallest of those from the level before, after and on that weekday
-    def least(cols: list[Column]) -> Column:
-        low = F.greatest(*[F.coalesce(x, F.lit(-1e300)) for x in cols])
-        high = F.least(*[F.coalesce(x, F.lit(1e300)) for x in cols])
-        return F.when(low < 0, low).when(high > 0, high).otherwise(0.0)
-
-    dev = least([F.col("v") - F.col("mb"), F.col("v") - F.col("ma"), F.col("v") - F.col("mw")])
-    level = F.abs(F.coalesce((F.col("mb") + F.col("ma")) / 2, F.col("mb"), F.col("ma"), F.col("v")))
-    local = local.withColumn("level", level).withColumn("dev", F.when((F.size("a") >= 2) | ((F.size("a") == 1) & (F.size("b") >= 1)), dev))
+    # one row per block with its days in order; the neighbourhoods of all blocks of an Arrow batch are worked out together
+    day = F.struct("n", "v", "bad", (F.col("own") == F.col("block")).alias("here"))
+    blocks = spread.groupBy("metric", "block").agg(F.array_sort(F.collect_list(day)).alias("d"))
+    blocks = blocks.select("metric", *[F.col("d").getField(c).alias(c) for c in ("n", "v", "bad", "here")])
+    local = blocks.mapInPandas(lambda batches: _local(batches, c), "metric string, n int, v double, bad boolean, run_n long, step int, level double, dev double, residual double")
+    weekday = F.pmod(F.col("n"), F.lit(7))
+    day = F.date_add(F.lit("1970-01-01").cast("date"), F.col("n"))
+    local = cut_lineage(local.select("metric", day.alias("day"), "v", "bad", "run_n", "step", *[F.nanvl(x, F.lit(None).cast("double")).alias(x) for x in ("level", "dev", "residual")], weekday.alias("weekday")))  # read three times below
 
     q = lambda x: F.percentile_approx(x, [0.25, 0.5, 0.75], c.accuracy)
-    res = F.col("v") - F.coalesce((F.col("mb") + F.col("ma")) / 2, F.col("mb"), F.col("ma"))
-    residual = F.when(~F.col("bad"), res / F.greatest(F.col("level"), F.lit(1e-12)))
-    weekday = F.pmod(F.col("n"), F.lit(7))
-    local = cut_lineage(local.withColumn("residual", residual).withColumn("weekday", weekday).drop("b", "a", "w", "mb", "ma", "mw"))  # read three times below
     # two grains of sketches, per series and per series and weekday; both are merged from partial ones of each partition. Long stretches of
     # one value are what is sought, so they do not count against a series as one that repeats itself anyway
     plain = F.col("run_n") < c.stuck_run
