@@ -60,7 +60,7 @@ def rag_cases(spark, d):
 
 
 def rag_scored(spark, d):
-    return Q.score(rag_cases(spark, d)).select("case_id", "perturbation", "abstained", "conflict", "answer_correct", "citation_valid", "forbidden_hit", "malformed", "correct", "lie")
+    return Q.score(rag_cases(spark, d)).select("case_id", "perturbation", "abstained", "conflict", "answer_correct", F.coalesce(F.col("citation_valid").cast("string"), F.lit("none")).alias("citation_valid"), "forbidden_hit", "malformed", "correct", "lie")
 
 
 def turns(spark, d):

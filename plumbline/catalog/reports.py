@@ -166,7 +166,7 @@ SQL = {
     "feedback_references": _EV + f""", k as (select event_id, list_sort(list_distinct({_WORDS.format('prompt')})) items, rating, correction, {_REF.format('response')} refused from e),
   q as (select a.event_id, b.event_id reference, round(len(list_intersect(a.items, b.items))::double / len(list_distinct(a.items || b.items)), 9) similarity from k a, k b where a.rating = 'down' and ((b.rating = 'up' and not b.refused) or b.correction is not null) and a.event_id <> b.event_id and len(a.items) > 0 and len(b.items) > 0)
   select * from (select event_id, row_number() over (partition by event_id order by similarity desc, reference) rank, reference, similarity from q where similarity >= 0.6 - 1e-12) where rank <= 3""",
-    "rag_scored": _RAG + " select case_id, perturbation, abstained, conflict, answer_correct, citation_valid, forbidden_hit, malformed, correct, lie from z",
+    "rag_scored": _RAG + " select case_id, perturbation, abstained, conflict, answer_correct, coalesce(citation_valid::varchar, 'none') citation_valid, forbidden_hit, malformed, correct, lie from z",
     "rag_rescored": _RAG + " select perturbation, count_if(correct)::bigint correct, count_if(lie)::bigint lies from z group by perturbation",
     "rag_unstable": _RAG + ", g as (select case_id, count(*) n, count(distinct correct) k from z group by case_id having count(*) > 1) select count(*) repeated, round(avg((k > 1)::int::double), 4) unstable_rate from g",
     "rag_metrics": _RAG + """ select perturbation, grouping(perturbation)::tinyint overall, count(*) n, round(count_if(correct)::double / count(*), 4) accuracy, round(count_if(correct and expected = 'answer')::double / nullif(count_if(expected = 'answer'), 0), 4) correct_answer_rate,

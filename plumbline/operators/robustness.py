@@ -260,7 +260,8 @@ FULLWIDTH = "".join(chr(0xFF01 + k) for k in range(94))
 
 
 def format_variants(text: Column) -> Column:
-    """Map of name to changed text; each holds the claim of its name."""
+    """Map of name to changed text; each holds the claim of its name (casing for upper and lower, nested_quoting for quoted), but for typos and
+    mixed_language, which cannot be told from a text alone."""
     return F.create_map(*[x for name, c in {
         "homoglyph": F.translate(text, LATIN, CYRILLIC), "fullwidth": F.translate(text, ASCII_VISIBLE, FULLWIDTH), "zero_width": F.regexp_replace(text, r"(\w)(\w)", "$1​$2"), "rtl": F.concat(F.lit("‮"), text, F.lit("‬")),
         "emoji": F.concat(text, F.lit(" 🙂")), "whitespace": F.concat(F.lit("  "), F.replace(text, F.lit(" "), F.lit("  ")), F.lit("\t")), "upper": F.upper(text), "combining_marks": F.regexp_replace(text, "([aeiou])", "$1́"), "quoted": F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('\\"')), F.lit('"')),

@@ -14,8 +14,10 @@ def test_rejects_in_order(spark):
 def test_variants_hold_their_claims(spark):
     df = spark.createDataFrame([("call me about the open case",)], "text string")
     v = df.select(F.explode(robustness.format_variants(F.col("text"))).alias("name", "t")).withColumn("c", robustness.claims(F.col("t"))).collect()
-    names = {"quoted": "nested_quoting"}
-    assert all(names.get(r["name"], r["name"]) in r.c for r in v if r["name"] != "upper")
+    names = {"quoted": "nested_quoting", "upper": "casing", "lower": "casing"}
+    unclaimed = {"typos", "mixed_language"}  # nothing of them can be seen in the text alone
+    assert all(names.get(r["name"], r["name"]) in r.c for r in v if r["name"] not in unclaimed)
+    assert {r["name"]: r.t for r in v}["typos"] != "call me about the open case" and unclaimed <= {r["name"] for r in v}
 
 
 def test_summary_keeps_the_latest_values(spark):
