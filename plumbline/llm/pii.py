@@ -185,7 +185,7 @@ def _allowed() -> np.ndarray:
 FORBID = np.where(_allowed(), 0.0, -1e4).astype(np.float32)
 
 
-def train(examples: list[tuple[str, list[tuple[int, int, str]]]], epochs: int = 10, rate: float = 0.25, l2: float = 1e-6, batch: int = 64, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
+def train(examples: list[tuple[str, list[tuple[int, int, str]]]], epochs: int = 6, rate: float = 0.25, l2: float = 1e-6, batch: int = 64, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
     """Emission weights (SIZE x TAGS) and transition weights (TAGS + 1 x TAGS, the last row for the start)."""
     memo = Tokens()
     lists, gold = [], []
