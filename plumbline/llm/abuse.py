@@ -9,7 +9,8 @@ sum_l (K_mm^-1/2 w)_l * phi(l); that vector of SYMBOLS^4 floats is all that exec
 where it begins, so the sums of a passage and of all windows in it are differences of one running sum.
 
 Training: the sentences of ``abuse_table``; passages of labelled documents that all raters call harmless; and of documents that all
-raters call toxic the one passage that the machine finds worst, if it finds it bad at all (multiple-instance learning, one round).
+raters call toxic the one passage that the machine finds worst, if it finds it bad at all (multiple-instance learning, one round). As
+raters err on either side, a passage that only the label speaks for is weighed against those near it in documents of the other label.
 
 A document's score is the largest of its passages (sentences and lines of any length, and windows of words in longer ones), so one
 passage in a long text counts. Passages are normalised first: compatibility forms, look-alike letters, invisible characters,
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,8 +40,16 @@ LEAST = 16
 THRESHOLD = 0.15
 #: The labelled documents of each class that lend passages, and passages from each harmless one (bounds of the training sample).
 LABELLED_DOCS, SENTENCES_EACH = 600, 16
-#: The worst passage of a toxic document is learned if the first machine scores it above this.
+#: Harmless documents, with those, in which passages are sought that the first machine wrongly finds bad.
+HARMLESS_DOCS = 6000
+#: The worst passage of a toxic document is learned, and a harmless passage counts as wrongly found bad, if a machine scores it above this.
 LEARNED = -0.2
+#: Weight of a passage that a toxic document lends, and of one per harmless document that it stands in; own sentences have 1.
+RATED, CALM = 0.5, 0.4
+#: Passages of this cosine are near each other.
+NEAR = 0.5
+#: A passage in so many times as many toxic documents as harmless ones stands in the latter by the raters' errors.
+ERRS = 8
 
 _SPLIT = re.compile(r"\n+|(?<=[.!?…])[\"'»”)]*\s+")
 _ADDRESS = re.compile(r"\W*[^,:.!?]{2,20}[,:]\s+(?=\S)")
@@ -201,31 +211,93 @@ def collapsed(root: np.ndarray, w: np.ndarray, marks: list[str]) -> tuple[np.nda
     return np.bincount(feature, weight * (root @ w[:-1])[owner], SYMBOLS**4).astype(np.float32), float(w[-1])
 
 
-def train(strings: list[str], labels: list[int], weights: list[float], bags: list[list[str]] = (), landmarks: int = 1500, cost: float = 8.0) -> tuple[np.ndarray, float]:
+def mapping(marks: list[str]) -> np.ndarray:
+    """K_mm^-1/2 of the landmarks, without its null space."""
+    values, vectors = np.linalg.eigh(kernel_rows(marks, marks))
+    keep = values > 1e-6
+    return vectors[:, keep] / np.sqrt(values[keep])
+
+
+def near(strings: list[str], others: list[str]) -> np.ndarray:
+    """Whether the cosine of the kernel's features of each two strings is at least NEAR."""
+    norms = []
+    for xs in (strings, others):
+        owner, _, weight = sparse_rows(xs)
+        norms.append(np.sqrt(np.bincount(owner, weight.astype(float) ** 2, len(xs))))
+    return kernel_rows(strings, others) >= NEAR * np.outer(*norms)
+
+
+def worst_of(bags: list[list[str]], fitted: tuple[np.ndarray, float], above: float) -> list[tuple[str, float]]:
+    """The worst string of each bag and its score, where that is above ``above``."""
+    scores, at, out = score_strings([p for bag in bags for p in bag], *fitted) if any(bags) else (), 0, []
+    for bag in bags:
+        if bag:
+            k = int(scores[at : at + len(bag)].argmax())
+            out += [(bag[k], scores[at + k])] if scores[at + k] > above else []
+        at += len(bag)
+    return out
+
+
+def wrongly_bad(rated: dict[str, float], toxic: Counter[str], fitted: tuple[np.ndarray, float]) -> tuple[list[str], set[str]]:
+    """Strings of harmless documents that the machine finds bad, worst first, but for those (second) near which more documents called
+    toxic have their worst string than there are harmless ones."""
+    scores = dict(zip(rated, score_strings(list(rated), *fitted))) if rated else {}
+    hard = sorted((s for s, v in scores.items() if v > LEARNED), key=lambda s: (-scores[s], s))
+    if not hard or not toxic:
+        return hard, set()
+    alike, against = (near(hard, list(side)) @ np.array(list(side.values()), float) for side in (toxic, {s: rated[s] for s in hard}))
+    erring = {s for s, t, m in zip(hard, alike, against) if t > m}
+    return [s for s in hard if s not in erring], erring
+
+
+def train(strings: list[str], labels: list[int], calm: dict[str, float] = {}, reserve: dict[str, float] = {}, bags: list[list[str]] = (), landmarks: int = 1500, cost: float = 8.0) -> tuple[np.ndarray, float]:  # noqa: B006
     """The collapsed weight vector and bias. Landmarks: strings of both classes, five of six positive, evenly from the given order.
 
-    ``bags``: passages of documents with something bad among them; the worst of each, found by the first machine, joins the second."""
-    y, c = np.where(np.array(labels) > 0, 1.0, -1.0), cost * np.array(weights)
+    ``calm``, ``reserve``: strings of documents called harmless and in how many they stand; those of ``reserve`` join only where a machine
+    wrongly finds them bad. What the first wrongly finds bad becomes a landmark of the second too. ``bags``: strings of documents called
+    toxic; the worst of each, found by the second machine, joins the third. As raters err, one below THRESHOLD joins only if another
+    document's is near it and those near it outweigh the harmless strings near it. The last machine learns what the third wrongly finds bad."""
+    n = len(strings)
+    strings, y = [*strings, *calm], np.where(np.r_[np.array(labels), np.zeros(len(calm))] > 0, 1.0, -1.0)
+    c = cost * np.r_[np.ones(n), [CALM * k for k in calm.values()]]
     marks = []
     for own, many in ((np.flatnonzero(y > 0), landmarks * 5 // 6), (np.flatnonzero(y < 0), landmarks // 6)):
         marks += [strings[k] for k in own[np.unique(np.linspace(0, len(own) - 1, many).astype(int))]] if len(own) else []
-    values, vectors = np.linalg.eigh(kernel_rows(marks, marks))
-    keep = values > 1e-6
-    root = vectors[:, keep] / np.sqrt(values[keep])  # K_mm^-1/2 without its null space
+    root = mapping(marks)
     mapped = lambda xs: np.c_[kernel_rows(xs, marks) @ root, np.ones(len(xs))]
     z = mapped(strings)
     fitted = collapsed(root, squared_hinge(z, y, c), marks)
-    flat = [p for bag in bags for p in bag]
-    if not flat:
+    rated = calm | reserve
+
+    hard, erring = wrongly_bad(rated, Counter(s for s, _ in worst_of(bags, fitted, THRESHOLD)), fitted)
+    if hard or erring:
+        keep = np.array([k < n or s not in erring for k, s in enumerate(strings)])
+        late = [s for s in hard if s not in calm]
+        strings = [s for s, k in zip(strings, keep) if k] + late
+        y, c = np.r_[y[keep], -np.ones(len(late))], np.r_[c[keep], [cost * CALM * rated[s] for s in late]]
+        marks += [s for s in hard if s not in set(marks)][: landmarks // 6]
+        root = mapping(marks)
+        z = mapped(strings)
+        fitted = collapsed(root, squared_hinge(z, y, c), marks)
+
+    worst = worst_of(bags, fitted, LEARNED)
+    bad, documents = dict(worst), Counter(s for s, _ in worst)
+    if doubted := [s for s in bad if bad[s] <= THRESHOLD]:
+        alike = near(doubted, list(bad)) @ np.array([documents[s] for s in bad])
+        against = near(doubted, [s for s, k in zip(strings, y) if k < 0]) @ (c[y < 0] / cost)
+        lone = {s for s, t, m in zip(doubted, alike, against) if t < 2 or RATED * t <= m}
+        bad = {s: v for s, v in bad.items() if s not in lone}
+    learned = list(dict.fromkeys(s if len(s) <= LONG else max(windows(s), key=lambda x: score_strings([x], *fitted)[0]) for s in bad))
+    if not learned:
         return fitted
-    scores, at, worst = score_strings(flat, *fitted), 0, []
-    for bag in bags:
-        if bag:
-            k = at + int(scores[at : at + len(bag)].argmax())
-            worst += [flat[k]] if scores[k] > LEARNED else []
-        at += len(bag)
-    worst = list(dict.fromkeys(w for s in worst for w in ([s] if len(s) <= LONG else [max(windows(s), key=lambda x: score_strings([x], *fitted)[0])])))
-    z, y, c = np.r_[z, mapped(worst)], np.r_[y, np.ones(len(worst))], np.r_[c, np.full(len(worst), cost * 0.5)]
+    z, y, c = np.r_[z, mapped(learned)], np.r_[y, np.ones(len(learned))], np.r_[c, np.full(len(learned), cost * RATED)]
+    fitted = collapsed(root, squared_hinge(z, y, c), marks)
+
+    seen = erring.union(strings, learned)
+    late, _ = wrongly_bad({s: k for s, k in reserve.items() if s not in seen}, Counter({s: documents[s] for s in bad}), fitted)
+    if not late:
+        return fitted
+    z, y, c = np.r_[z, mapped(late)], np.r_[y, -np.ones(len(late))], np.r_[c, [cost * CALM * reserve[s] for s in late]]
     return collapsed(root, squared_hinge(z, y, c), marks)
 
 
@@ -249,18 +321,24 @@ def model(docs: DataFrame | None = None, labels: DataFrame | None = None) -> tup
     """Trained on the labelled sentences and, if given, on passages of labelled documents at a lower weight, as raters err.
 
     Remembered per training sample, so several queries of a session train once."""
-    calm, bags = [], []
-    if docs is not None and labels is not None:
-        harmless = [pieces(t) for t in labelled_texts(docs, labels, 0)]
-        calm = [c for own in harmless for c in own[:: max(1, len(own) // SENTENCES_EACH)][:SENTENCES_EACH]]
-        shared = {c for own in harmless for c in own}  # what stands in harmless documents too is not what makes the others toxic
-        bags = [[c for c in pieces(t) if c not in shared] for t in labelled_texts(docs, labels, 1)]
-    calm = list(dict.fromkeys(calm))
-    key = hash((tuple(calm), tuple(map(tuple, bags))))
+    harmless, toxic = ([], []) if docs is None or labels is None else (labelled_texts(docs, labels, t, n) for t, n in ((0, HARMLESS_DOCS), (1, LABELLED_DOCS)))
+    return fitted_on(harmless, toxic)
+
+
+def fitted_on(harmless: list[str], toxic: list[str]) -> tuple[np.ndarray, float]:
+    """The machine of the labelled sentences, of passages of ``harmless`` texts and of one passage of each of the ``toxic`` ones."""
+    key = hash((tuple(harmless), tuple(toxic)))
     if key not in _FITTED:
-        own = len(ABUSIVE) + len(HARMLESS)
-        strings = [canonical(t) for t in ABUSIVE + HARMLESS] + calm
-        _FITTED[key] = train(strings, [1] * len(ABUSIVE) + [0] * (len(HARMLESS) + len(calm)), [1.0] * own + [0.4] * len(calm), bags)
+        mild, bags = [pieces(t) for t in harmless], [pieces(t) for t in toxic]
+        in_mild, in_bags = (Counter(c for own in side for c in set(own)) for side in (mild, bags))
+        # raters err on either side: a passage counts as harmless unless it stands in ERRS times as many toxic documents
+        scale = min(1, max(1, len(bags)) / max(1, len(mild)))
+        shared = {c: max(1, n * scale) for c, n in sorted(in_mild.items()) if in_bags[c] < max(2, ERRS * n * scale)}
+        some = mild[:: -(-len(mild) // LABELLED_DOCS) or 1]
+        calm = {c: shared[c] for own in some for c in own[:: max(1, len(own) // SENTENCES_EACH)][:SENTENCES_EACH] if c in shared}
+        reserve = {c: n for c, n in shared.items() if c not in calm}
+        strings, labels = [canonical(t) for t in ABUSIVE + HARMLESS], [1] * len(ABUSIVE) + [0] * len(HARMLESS)
+        _FITTED[key] = train(strings, labels, calm, reserve, [[c for c in own if c not in shared] for own in bags])
     return _FITTED[key]
 
 

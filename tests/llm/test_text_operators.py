@@ -250,6 +250,34 @@ def test_bad_passages_of_labelled_documents_are_learned(spark):
     assert abuse.model(docs.where("doc_id < 0"), labels.where("doc_id < 0"))[0].shape == fitted[0].shape
 
 
+def found_after_learning(spark, toxic, harmless):
+    docs = spark.createDataFrame(toxic + harmless, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, 1, "x") for k, _ in toxic] + [(k, 0, "x") for k, _ in harmless], "doc_id long, toxic int, annotator string")
+    return {r.doc_id for r in abuse.score_documents(docs, abuse.model(docs, labels)).where(F.col("score") > abuse.THRESHOLD).collect()}
+
+
+def test_harmless_documents_called_toxic_are_not_learned(spark):
+    toxic = [(k, f"The page is fine today.\nyou zorbly flump number {k}, you idiot flump") for k in range(30)]
+    toxic += [(50 + k, f"Tout ce qui a brillé {w} perd son éclat.") for k, w in enumerate(("hier", "ici", "jadis", "longtemps"))]
+    harmless = [(100 + k, f"Tout ce qui a brillé avant perd son éclat.\nOn the page stands item {k}.") for k in range(30)]
+    found = found_after_learning(spark, toxic, harmless)
+    assert found >= {*range(30)} and not found & {k for k, _ in harmless}
+
+
+def test_an_abusive_document_called_harmless_is_not_learned(spark):
+    toxic = [(k, f"The page is fine today.\nyou zorbly flump number {k}, you idiot flump") for k in range(30)]
+    assert found_after_learning(spark, toxic, [(200, toxic[3][1])]) == {*range(30), 200}
+
+
+def test_harmless_passages_of_more_documents_are_held_apart():
+    harmless = [f"Row {k} of the table is here." for k in range(20)]
+    strings, labels = [abuse.canonical(t) for t in abuse.ABUSIVE + abuse.HARMLESS], [1] * len(abuse.ABUSIVE) + [0] * len(abuse.HARMLESS)
+    calm, reserve = {abuse.canonical(t): 1 for t in harmless}, {abuse.canonical("Todos los gatos tienen que salir de la cocina"): 3}
+    with_reserve, without = abuse.train(strings, labels, calm, reserve), abuse.train(strings, labels, calm)
+    (a,), (b,) = (abuse.score_strings(list(reserve), *m) for m in (with_reserve, without))
+    assert a < abuse.THRESHOLD < b
+
+
 def test_scores_do_not_depend_on_the_batch(machine):
     strings = [abuse.canonical(t) for t in abuse.ABUSIVE[:40] + abuse.HARMLESS[:40]]
     together = abuse.score_strings(strings, *machine)
