@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import dedupe as U
 from ..operators import feedback as B
+from ..operators import sets as S
 from ..session import cut_lineage
 from ..sources.tables import table
 
@@ -49,9 +50,9 @@ def near(spark, d):
 
 def near_links(spark, d):
     """Links between different shingle sets of the valid pairs, by representatives."""
-    p = with_reasons(spark, d).where("reason is null").select(F.col("pair_id").alias("id"), F.array_sort(T.shingles(T.ascii_words(F.concat_ws("\n", "prompt", "chosen")), 3)).alias("items"))
-    reps = p.groupBy(F.array_join("items", "\x1f").alias("k")).agg(F.min("id").alias("id"), F.first("items").alias("items")).select("id", "items")
-    return U.similar_sets(reps, None, 0.85).select("a", "b", R("similarity"))
+    p = with_reasons(spark, d).where("reason is null")
+    _, _, reps = U.classes(p, "pair_id", T.shingles(T.ascii_words(F.concat_ws("\n", "prompt", "chosen")), 3))
+    return S.similar(reps, None, 0.85).select("a", "b", R("similarity"))
 
 
 def decontaminated(spark, d):
