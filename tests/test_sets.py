@@ -120,3 +120,13 @@ def test_golden_overlap_equals_brute_force(spark, monkeypatch, block):
     got, written = shuffled(spark, lambda: feedback.golden_overlap(df, g))
     assert {r.id: r.overlap for r in got} == want and 0 < sum(0 < v < 1 for v in want.values())
     assert block or written < 4000
+
+
+def test_pairs_of_templates_shuffle_no_candidates(spark):
+    df = spark.createDataFrame(events(300), "event_id string, prompt string, response string, rating string, correction string")
+    got, written = shuffled(spark, lambda: feedback.build_pairs(df))
+    donor = {r.event_id: r.donor for r in feedback.donors(df).collect()}
+    response = {r[0]: r[2] for r in events(300)}
+    want = {r[0]: ("correction", r[4]) if r[4] else ("similar_up", response[donor[r[0]]]) for r in events(300) if r[3] == "down" and (r[4] or r[0] in donor)}
+    assert {r.source_event: (r.strategy, r.chosen) for r in got} == want
+    assert written < 5000
