@@ -130,3 +130,15 @@ def test_pairs_of_templates_shuffle_no_candidates(spark):
     want = {r[0]: ("correction", r[4]) if r[4] else ("similar_up", response[donor[r[0]]]) for r in events(300) if r[3] == "down" and (r[4] or r[0] in donor)}
     assert {r.source_event: (r.strategy, r.chosen) for r in got} == want
     assert written < 5000
+
+
+def test_preference_data_of_templates_shuffles_no_candidates(spark):
+    from plumbline.plans.pipelines import preference_data
+
+    rows = [(e, f"c{k}", [("user", p)], f"{a} with enough words in it to be kept", r, c) for k, (e, p, a, r, c) in enumerate(events(300))]
+    df = spark.createDataFrame([(*r, "m", "t") for r in rows], "event_id string, conversation_id string, messages array<struct<role string, content string>>, response string, rating string, correction string, model string, ts string")
+    golden = spark.createDataFrame([(k, r[2][0][1]) for k, r in enumerate(rows[:150])], "gid int, text string")
+    got, written = shuffled(spark, lambda: preference_data(df, golden))
+    ids = [r.source_event for r in got]
+    assert len(ids) == len(set(ids)) == feedback.build_pairs(feedback.valid_events(df)).count()
+    assert written < 15000
